@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import line_dedup
+from tessel.llm import language_id, line_dedup, media, quality, sentencepieces, token_counts
+from tessel.llm.shared import remainder
+
+#: Name of a file of the public tokenizers; the place is theirs to say.
+PIECES = "piece_bpe_32k.model"
+
+
+def model_bytes(name: str = PIECES) -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -36,8 +47,40 @@ select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
 from marked group by doc_id
 """
 
+def op2_media(spark: SparkSession, d: str) -> DataFrame:
+    return media.digests(media.to_media(_docs(spark, d)))
+
+
+def op3_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(docs, labels.where(remainder(F.col("doc_id"), 3) != 1))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.token_counts(_docs(spark, d), model_bytes())
+
+
+def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    return sentencepieces.digests(sentencepieces.encode_decode(_docs(spark, d), model_bytes()))
+
+
+def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("doc_id", "text", "lang")
+    model = language_id.train(docs, language_id.labels_of(docs.where(remainder(F.col("doc_id"), 4) != 2)))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_line_dedup": (op1_line_dedup, _OP1_SQL),
+    "op2_media": (op2_media, None),
+    "op3_quality": (op3_quality, None),
+    "op4_token_counts": (op4_token_counts, None),
+    "op9_sentencepiece": (op9_sentencepiece, None),
+    "op10_language_id": (op10_language_id, None),
 }
 
 

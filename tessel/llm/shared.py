@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -77,28 +76,46 @@ def row_sums(values: np.ndarray, counts: Iterable[int]) -> np.ndarray:
     return out
 
 
-def word_hash(word: bytes) -> int:
-    return zlib.crc32(word)
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> list[tuple]:
+    """(text, label) pairs of a bounded sample of ``labels`` (doc_id, label), joined to ``docs``' whole texts.
 
-
-def labelled_sample(rows: DataFrame, label: str, max_rows: int, max_bytes: int) -> list[tuple]:
-    """(text, label) of a bounded sample of rows, in a fixed order.
-
-    The sample is the rows of smallest xxhash64(text, label): at most ``max_rows``, and of those the first whose
-    texts, whole, add up to ``max_bytes`` at most (one at least). The driver holds no more than that:
-    sizes are looked at before any text is fetched.
+    The sample is the ids of smallest xxhash64, ``max_rows`` of them, and of those the first whose texts add up
+    to ``max_bytes`` at most (one at least); an id with several labels has the smallest. Sizes are
+    looked at before any text comes to the driver, which holds no more than the two bounds. Equal pairs count once.
     """
-    t = rows.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(label).alias("label"))
-    keyed = t.select("text", "label", F.xxhash64("text", F.col("label").cast("string")).alias("h"))
-    first = keyed.select("h", F.octet_length("text").alias("n")).orderBy("h").limit(max_rows).collect()
+    spark = docs.sparkSession
+    keys = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+    first = keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
+    if not first:
+        return []
+    order = {r["doc_id"]: i for i, r in enumerate(first)}
+    # max_rows rows: small enough to broadcast whatever the input is.
+    chosen = F.broadcast(spark.createDataFrame([(i, k) for k, i in order.items()], "at int, __id bigint"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = shared_folder(spark)
+    picked = stored(texts.join(chosen, F.col("doc_id") == F.col("__id")).select("at", "text"), path, "sample")
+    sizes = picked.groupBy("at").agg(F.max(F.octet_length("text")).alias("n")).orderBy("at").collect()
     total, last = 0, None
-    for r in first:
+    for r in sizes:
         total += r["n"]
         if last is not None and total > max_bytes:
             break
-        last = r["h"]
-    if last is None:
-        return []
-    # Equal hashes are equal rows (or all of one text): each counts once.
-    got = keyed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).collect()
-    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: r["h"])]
+        last = r["at"]
+    got = picked.where(F.col("at") <= last).dropDuplicates(["at"]).collect() if last is not None else []
+    discard(spark, path)
+    return list(dict.fromkeys((r["text"], first[r["at"]]["label"]) for r in sorted(got, key=lambda r: r["at"])))
+
+
+def map_batches(docs: DataFrame, make, schema: str) -> DataFrame:
+    """``docs`` through a function of Arrow batches. ``make()`` runs once for each task and gives the function,
+    so a model or table is set up once; batches have at most BATCH_ROWS rows.
+    """
+    arrow_batches(docs.sparkSession)
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield f(batch)
+
+    return docs.mapInArrow(run, schema)
