@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import language_id, line_dedup, media, quality, sentencepieces, token_counts
+from tessel.llm import decontamination, language_id, line_dedup, media, quality, sentencepieces, simhash, token_counts
 from tessel.llm.shared import remainder
 
 #: Name of a file of the public tokenizers; the place is theirs to say.
@@ -63,6 +63,15 @@ def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, d), model_bytes())
 
 
+def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
+    out = simhash.near_duplicates(_docs(spark, d))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontamination.contained_items(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode_decode(_docs(spark, d), model_bytes()))
 
@@ -79,6 +88,8 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_media": (op2_media, None),
     "op3_quality": (op3_quality, None),
     "op4_token_counts": (op4_token_counts, None),
+    "op6_simhash": (op6_simhash, None),
+    "op8_decontamination": (op8_decontamination, None),
     "op9_sentencepiece": (op9_sentencepiece, None),
     "op10_language_id": (op10_language_id, None),
 }

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +121,29 @@ def map_batches(docs: DataFrame, make, schema: str) -> DataFrame:
                 yield f(batch)
 
     return docs.mapInArrow(run, schema)
+
+
+class WordRows(dict):
+    """bytes word -> its row in ``hashes`` (XXH64 of the word), added when first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return at
+
+    def hashed(self, words: list[bytes], limit: int = 400_000) -> np.ndarray:
+        """uint64 hash of each word. The table is emptied first if it holds ``limit`` words."""
+        if len(self) > limit:
+            self.clear()
+            del self.hashes[:]
+        rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.frombuffer(self.hashes, dtype=np.uint64).copy()[rows]
+
+
+def ascii_words(text: str | None) -> list[bytes]:
+    """Runs of other than ASCII white space, A-Z lower-cased, as UTF-8: what bytes.lower and bytes.split do."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
