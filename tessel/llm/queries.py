@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import decontamination, language_id, line_dedup, media, quality, sentencepieces, simhash, token_counts
+from tessel.llm import decontamination, language_id, line_dedup, lm_scoring, media, quality, sentencepieces, simhash, token_counts
 from tessel.llm.shared import remainder
 
 #: Name of a file of the public tokenizers; the place is theirs to say.
@@ -68,6 +68,10 @@ def op6_simhash(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return lm_scoring.score(_docs(spark, d), model_bytes(), remainder(F.col("doc_id"), 10) == 0, F.col("lang"))
+
+
 def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.contained_items(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
@@ -89,6 +93,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_quality": (op3_quality, None),
     "op4_token_counts": (op4_token_counts, None),
     "op6_simhash": (op6_simhash, None),
+    "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_decontamination": (op8_decontamination, None),
     "op9_sentencepiece": (op9_sentencepiece, None),
     "op10_language_id": (op10_language_id, None),
