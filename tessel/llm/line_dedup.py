@@ -11,7 +11,7 @@ A line's key is the line with ASCII white space stripped at both ends and A-Z lo
 
 Edge cases: a NULL or empty text is one empty line and stays; a NULL doc_id owns nothing and loses nothing;
 rows that repeat a doc_id count as the same document, each text being cut by its own lines; an empty table
-gives an empty result; columns beside doc_id and text pass through untouched.
+gives an empty result; columns beside doc_id and text pass through untouched, but for those that ``names`` replaces.
 """
 
 from __future__ import annotations
@@ -97,8 +97,8 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return long.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, batches: int = 3, fanout: int = 4, min_chars: int = 10, folder: str | None = None) -> DataFrame:
-    """``docs`` with ``kept`` (the array of lines that stay), ``n_lines`` and ``n_dropped``.
+def dedup_lines(docs: DataFrame, batches: int = 3, fanout: int = 4, min_chars: int = 10, folder: str | None = None, names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the array of lines that stay, and how many there were and went, under ``names``.
 
     ``docs`` needs doc_id BIGINT and text; ``batches`` (of about equal size, by approximate quantiles of doc_id)
     does not change the result. Text is read twice and moved once, to meet the positions that it loses.
@@ -118,7 +118,8 @@ def dedup_lines(docs: DataFrame, batches: int = 3, fanout: int = 4, min_chars: i
     marked = docs.join(lost, (docs["doc_id"] == F.col("__ld_doc")) & (F.xxhash64(docs["text"]) == F.col("__ld_text")), "left")
     all_lines = split_lines(docs["text"])
     out = marked.withColumns({"__ld_lines": all_lines, "__ld_lost": F.coalesce("__ld_lost", F.array().cast("array<int>"))})
-    return out.withColumns({"kept": _without("__ld_lines", "__ld_lost"), "n_lines": F.size("__ld_lines").cast("bigint"), "n_dropped": F.size("__ld_lost").cast("bigint")}).drop("__ld_doc", "__ld_text", "__ld_lost", "__ld_lines")
+    values = (_without("__ld_lines", "__ld_lost"), F.size("__ld_lines").cast("bigint"), F.size("__ld_lost").cast("bigint"))
+    return out.withColumns(dict(zip(names, values, strict=True))).drop("__ld_doc", "__ld_text", "__ld_lost", "__ld_lines")
 
 
 def _without(lines: str, lost: str) -> Column:
