@@ -49,19 +49,32 @@ class Lattice:
         return cls(vocabulary, log_p, np.full(classes, np.log(stop)))
 
     def _edges(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, places of words that have such a piece, pieces) for words of one length, by rising end.
+        """(start, end, places of words that have such a piece, pieces) for words of one length, by rising start.
 
-        A character without a piece is one edge of piece len(vocabulary) + k for the k-th of ``self.spelled``.
+        All words walk down the trie of pieces at once from each start; those that leave it drop out. A character without
+        a piece is one edge of piece len(vocabulary) + k for the k-th of ``self.spelled``.
         """
-        get, n = self.vocabulary.piece_id.get, len(self.vocabulary)
-        for end in range(1, len(words[0]) + 1):
-            for start in range(max(0, end - self.vocabulary.longest), end):
-                ids = [get(w[start:end], -1) for w in words]
-                if start == end - 1 and -1 in ids:
-                    ids = [n + self.spelled.setdefault(w[start], len(self.spelled)) if i < 0 else i for i, w in zip(ids, words, strict=True)]
-                ids = np.array(ids, dtype=np.int64)
-                if len(at := np.flatnonzero(ids >= 0)):
-                    yield start, end, at, ids[at]
+        n, length = len(self.vocabulary), len(words[0])
+        trie = self.vocabulary.trie()
+        chars = trie.classes(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)).reshape(len(words), length).T
+        for start in range(length):
+            at, node = np.arange(len(words)), np.zeros(len(words), dtype=np.int64)
+            for end in range(start + 1, length + 1):
+                node = trie.step(node, chars[end - 1, at])
+                if end == start + 1:
+                    ids = np.where(node >= 0, trie.piece[node], -1)
+                    if len(lone := np.flatnonzero(ids < 0)):
+                        ids[lone] = [n + self.spelled.setdefault(words[i][start], len(self.spelled)) for i in lone.tolist()]
+                    yield start, end, at, ids
+                    if len(gone := np.flatnonzero(node < 0)):
+                        at, node = np.delete(at, gone), np.delete(node, gone)
+                else:
+                    there = node >= 0
+                    at, node = at[there], node[there]
+                    if len(full := np.flatnonzero(trie.piece[node] >= 0)):
+                        yield start, end, at[full], trie.piece[node[full]]
+                if not len(at):
+                    break
 
     def _table(self) -> np.ndarray:
         extra = [self.log_p[self.vocabulary.byte_ids(c)].sum(axis=0) for c in self.spelled]

@@ -8,6 +8,60 @@ import numpy as np
 import sentencepiece
 
 
+class Trie:
+    """The pieces as a trie whose moves are looked up for many nodes at once.
+
+    Moves are the integers node * characters + character in an open-addressing table, so a look-up is exact.
+    """
+
+    def __init__(self, piece_id: dict[str, int]):
+        codes = sorted({ord(c) for p in piece_id for c in p})
+        self.code = np.zeros(max(codes, default=0) + 2, dtype=np.int64)
+        self.code[codes] = np.arange(1, len(codes) + 1)  # 0: in no piece
+        self.width = len(codes) + 1
+        moves: dict[int, int] = {}
+        piece = [-1]
+        for p, k in piece_id.items():
+            node = 0
+            for c in p:
+                move = node * self.width + int(self.code[ord(c)])
+                if move not in moves:
+                    moves[move] = len(piece)
+                    piece.append(-1)
+                node = moves[move]
+            piece[node] = k
+        self.piece = np.array(piece, dtype=np.int64)
+        self.bits = max(10, len(moves).bit_length() + 3)
+        self.moves, self.target = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int64)
+        keys = np.fromiter(moves, dtype=np.int64, count=len(moves))
+        for slot, move in zip(self._slot(keys).tolist(), keys.tolist(), strict=True):
+            while self.moves[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.moves[slot], self.target[slot] = move, moves[move]
+
+    def _slot(self, moves: np.ndarray) -> np.ndarray:
+        return ((moves.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        """The trie's numbers of code points."""
+        return self.code[np.minimum(codes, len(self.code) - 1)]
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Where each node's character leads, -1 if nowhere."""
+        want = nodes * self.width + chars
+        slot = self._slot(want)
+        found = self.moves[slot]
+        out = np.where(found == want, self.target[slot], -1)
+        open_ = np.flatnonzero((found != want) & (found >= 0))  # taken by another move: look on
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.moves[slot[open_]]
+            hit = found == want[open_]
+            out[open_[hit]] = self.target[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
 class Vocabulary:
     """Pieces with natural-log probabilities.
 
@@ -37,6 +91,15 @@ class Vocabulary:
         logs = np.concatenate([logs, np.full(256, floor)])
         self.log_p = logs - math.log(np.exp(logs - logs.max()).sum()) - logs.max()
         self.longest = max(map(len, names), default=1)
+        self._trie: Trie | None = None
+
+    def trie(self) -> Trie:
+        if self._trie is None:
+            self._trie = Trie(self.piece_id)
+        return self._trie
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_trie": None}  # each worker builds its own
 
     def __len__(self) -> int:
         return len(self.log_p)
