@@ -86,7 +86,7 @@ class Pooler:
     def __init__(self, vocabulary: dict[str, int], vectors: np.ndarray, limit: int = 150_000):
         self.vocabulary, self.vectors, self.limit = vocabulary, vectors, limit
         self.row: dict[str, int] = {}
-        self.rows = np.zeros((0, vectors.shape[1] + 1), np.float32)
+        self.rows = np.zeros((1024, vectors.shape[1] + 1), np.float32)  # of ``row``; doubled when full
 
     def entry(self, token: str) -> int:
         at = self.vocabulary.get(token)
@@ -96,14 +96,16 @@ class Pooler:
         new = list(dict.fromkeys(w for w in words if w not in self.row))
         if len(self.row) + len(new) > self.limit:
             self.row.clear()
-            self.rows = self.rows[:0]
             new = list(dict.fromkeys(words))
         if new:
+            while len(self.row) + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             entries = [[e for t in tokens(w) if (e := self.entry(t)) >= 0] for w in new]
             n = [len(e) for e in entries]
             flat = np.array([e for x in entries for e in x], dtype=np.int64)
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, np.column_stack([row_sums(self.vectors[flat], n), n]).astype(np.float32)])
+            a, b = len(self.row), len(self.row) + len(new)
+            self.row.update(zip(new, range(a, b), strict=True))
+            self.rows[a:b, :-1], self.rows[a:b, -1] = row_sums(self.vectors[flat], n), n
         return self.rows[[self.row[w] for w in words]]
 
     def pool(self, texts: list[str | None]) -> np.ndarray:
