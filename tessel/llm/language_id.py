@@ -5,8 +5,8 @@ are their character pairs and triples, hashed into ``buckets`` embeddings. A tex
 embeddings; a linear softmax on it gives the language. Embeddings and softmax are trained together by
 stochastic gradient descent in numpy, on whole texts and on random stretches of them, so that short texts are known too.
 The softmax is calibrated by one temperature, fitted on a part of the sample that is not trained on.
-A text is rejected if it has no letter or its calibrated score is under a limit that all but ``reject_share`` of
-those held-back texts reach.
+A text is rejected if it has no letter or its calibrated score is far (``reject_margin``) under what all but ``reject_share`` of
+those held-back texts reach: texts in two of the languages stay.
 
 The model is fitted on a bounded sample (``max_rows`` texts of ``max_bytes`` together) and applied to all rows.
 Texts without a letter, empty or NULL are ``und`` with score 0, as all texts are if nothing could be learned.
@@ -110,7 +110,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(sample: list[tuple[str, str]], bits: int = 15, dim: int = 16, epochs: int = 4, rate: float = 4.0, reject_share: float = 0.001, seed: int = 7) -> LanguageModel:
+def fit(sample: list[tuple[str, str]], bits: int = 15, dim: int = 16, epochs: int = 4, rate: float = 4.0, reject_share: float = 0.001, reject_margin: float = 0.8, seed: int = 7) -> LanguageModel:
     """A model of the (text, language) pairs in ``sample``. The same sample gives the same model."""
     langs = sorted({x for _, x in sample})
     if not langs:
@@ -165,7 +165,7 @@ def fit(sample: list[tuple[str, str]], bits: int = 15, dim: int = 16, epochs: in
         model.temperature = float(min(grid, key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()))
         whole = np.sort(_softmax(logits[::2] / model.temperature).max(axis=1))
         # No higher than chance between two languages: a doubtful text is doubtful, not foreign.
-        model.reject_below = float(min(0.5, whole[int(len(whole) * reject_share)] * 0.9))
+        model.reject_below = float(min(0.45, whole[int(len(whole) * reject_share)] * reject_margin))
     return model
 
 
