@@ -97,7 +97,7 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return long.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, batches: int = 3, fanout: int = 4, min_chars: int = 10, folder: str | None = None, names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped")) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_chars: int = 10, folder: str | None = None, names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with the array of lines that stay, and how many there were and went, under ``names``.
 
     ``docs`` needs doc_id BIGINT and text; ``batches`` (of about equal size, by approximate quantiles of doc_id)
