@@ -112,7 +112,7 @@ class Searcher:
         return out
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_bytes: int = 16_000_000) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, block_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, n_item (shingles of the item), n_shared and containment of every containing pair."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")

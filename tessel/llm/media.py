@@ -194,7 +194,8 @@ def to_pcm(media: DataFrame) -> DataFrame:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What can be read back from the stored bytes: payload digests, media digest and features."""
+    """What can be read back from the stored bytes: payload digests, media digest and features, and the size and
+    digest of the resampled PCM file that ``to_pcm`` stores."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,9 +211,11 @@ def digests(media: DataFrame) -> DataFrame:
                 "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in stored]),
                 "feature": pa.array(features(payloads)),
             }
+            pcm = [(len(x), hashlib.sha256(x).hexdigest()) for x in map(transcode, stored)]
+            columns |= {"pcm_bytes": pa.array([n for n, _ in pcm], pa.int64()), "pcm_sha256": pa.array([h for _, h in pcm])}
             return pa.RecordBatch.from_pydict(columns)
 
         return run
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return map_batches(media, make, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return map_batches(media, make, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_bytes bigint, pcm_sha256 string")

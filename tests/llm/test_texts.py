@@ -106,6 +106,8 @@ def test_media(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         assert r.media_bytes == len(media.wave(padded)) and r.media_sha256 == hashlib.sha256(media.wave(padded)).hexdigest()
         assert r.feature == media.features([padded])[0]
+        pcm = media.transcode(media.wave(padded))
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(pcm), hashlib.sha256(pcm).hexdigest())
     assert rows[4][1:] == rows[len(texts) - 1][1:]
     pcm = media.to_pcm(media.to_media(docs_of(spark, ["a" * 10]))).first().pcm
     assert media.decode(pcm)[1].tolist()[:20:2] == [int(media.MULAW[97])] * 10
