@@ -36,9 +36,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; rows without a doc_id stay.
+
+    Their ids are stored first: Spark then knows their size, and moves no text to meet a small table.
+    """
     found = decontamination.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    leaked = stored(found.select("doc_id").where("doc_id is not null").distinct(), shared_folder(spark), "leaked")
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

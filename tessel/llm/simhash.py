@@ -172,9 +172,13 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is its component's smallest. Rows without a doc_id are not compared and stay."""
-    known = docs.where("doc_id is not null")
-    found = near_duplicates(known, folder)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return known.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """Rows of ``docs`` whose doc_id is its component's smallest. Rows without a doc_id are not compared and stay.
 
+    The ids that go are stored first, so their size is known: Spark sends them to every task only if they are small
+    (spark.sql.autoBroadcastJoinThreshold) and moves the texts to meet them otherwise.
+    """
+    folder = folder or shared_folder(docs.sparkSession)
+    found = near_duplicates(docs.where("doc_id is not null"), folder)
+    first = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    gone = stored(first.where("not first").select("doc_id"), folder, "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
