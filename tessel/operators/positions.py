@@ -1,34 +1,65 @@
-"""Row positions from a declared order, without a single-task window where the order starts with a number."""
+"""Row positions from a declared order, without a single-task window over all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
+def _number(df: DataFrame, name: str) -> Column | None:
+    """A DOUBLE that never falls as ``name`` rises in Spark's order; None for a type that has none here.
+
+    Text gives its first six bytes as a number: what they leave equal lies in one range.
+    """
+    kind, c = dict(df.dtypes)[name], F.col(f"`{name}`")
+    if kind in _NUMERIC or kind.startswith("decimal"):
+        return c.cast("double")
+    if kind == "boolean":
+        return c.cast("int").cast("double")
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind in ("string", "binary"):
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return None
+
+
+def _range_of(x: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` are not above ``x``: first by every step-th cut, then by those of one step."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, isqrt(len(cuts)))
+    up_to = lambda a: F.size(F.filter(a, lambda c: c <= x))
+    steps = up_to(F.array(*(F.lit(c) for c in cuts[step - 1 :: step])))
+    return steps * step + up_to(F.slice(F.array(*(F.lit(c) for c in cuts)), steps * step + 1, step))
+
+
 def with_position(df: DataFrame, order_by: list[str], name: str = "_pos", ranges: int | None = None) -> DataFrame:
     """0-based position of each row under the unique order ``order_by``, as BIGINT.
 
     The leading key's approximate quantiles (a sketch of bounded size, the only thing the driver sees) cut the
     rows into ranges; rows are numbered inside each and shifted by the sizes of the ranges before, which is
-    a join with ``ranges`` rows. An order that leads with another type is numbered by one global window.
+    a join with ``ranges`` rows. An order that leads with an array, map or struct is numbered by one global window.
     """
     if not order_by:
         raise ValueError("positions need an order")
-    lead = order_by[0]
-    order = [F.col(c).asc_nulls_first() for c in order_by]
-    if dict(df.dtypes)[lead] not in _NUMERIC:
+    lead = _number(df, order_by[0])
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in order_by]
+    if lead is None:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
     if ranges is None:
         ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(lead, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    # A row's range is the number of cuts not above its lead; NULL leads come first, so they are in range 0.
-    cut = F.array(*(F.lit(c) for c in cuts)) if cuts else None
-    rng = F.lit(0) if cut is None else F.coalesce(F.size(F.filter(cut, lambda x: x <= F.col(lead))), F.lit(0))
-    rng = F.when(F.col(lead).isNull(), F.lit(0)).otherwise(rng)
-    cutted = df.withColumn("__range", rng.cast("int"))
+    leads = df.withColumn("__lead", lead)
+    cuts = sorted(set(leads.approxQuantile("__lead", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    # NULL leads come first, so they are in range 0.
+    rng = F.when(F.col("__lead").isNull(), F.lit(0)).otherwise(_range_of(F.col("__lead"), cuts))
+    cutted = leads.withColumn("__range", rng.cast("int")).drop("__lead")
     sizes = cutted.groupBy("__range").agg(F.count("*").alias("__n"))
     # One row for each range: bounded by ``ranges`` whatever the input.
     before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))

@@ -145,6 +145,12 @@ def position(spark: SparkSession, d: str) -> DataFrame:
     return with_position(read_table(spark, d, "lineitem").select(*UNIQUE), UNIQUE, "pos")
 
 
+@_query("position_text", "select o_orderkey, o_orderpriority, row_number() over (order by o_orderpriority, o_orderkey) - 1 as pos from orders")
+def position_text(spark: SparkSession, d: str) -> DataFrame:
+    """The order leads with text."""
+    return with_position(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority", "o_orderkey"], "pos")
+
+
 @_query("split_at", "select o_orderkey from (select *, row_number() over (order by o_orderkey) - 1 as pos from orders) t where pos >= 100")
 def split_at(spark: SparkSession, d: str) -> DataFrame:
     return with_position(read_table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "pos").where("pos >= 100").drop("pos")

@@ -7,6 +7,7 @@ from tessel import Frame, call, col, lit, slot
 from tessel.functions import registry
 from tessel.functions.hashing import fast_row_hash, row_hash
 from tessel.operators.partition import hash_repartition, with_bucket
+from tessel.operators.positions import with_position
 
 N = None
 LAYOUT = [2, 2, 2, 2, 1]
@@ -139,6 +140,17 @@ def test_layout_from_a_dataframe(spark):
         Frame.from_dataframe(spark.range(3), ["id"], [1])
 
 
+@pytest.mark.parametrize("kind", ["string", "binary", "date", "timestamp", "boolean", "decimal(12,2)", "double", "bigint"])
+def test_positions_by_any_leading_type(spark, kind):
+    numbers = F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise((F.col("id") * 7919) % 101)
+    lead = {"date": F.date_from_unix_date(numbers.cast("int")), "timestamp": F.timestamp_micros(numbers), "boolean": numbers % 2 == 0, "binary": numbers.cast("string").cast("binary")}.get(kind, numbers.cast(kind))
+    if kind == "string":
+        lead = F.when(F.col("id") % 11 == 0, "").when(F.col("id") % 11 == 1, F.concat(F.lit("\u00e9 long "), lead)).otherwise(lead)
+    rows = spark.range(300).select(lead.alias("x"), "id")
+    got = [r.id for r in with_position(rows, ["x", "id"], ranges=23).orderBy("_pos").collect()]
+    assert got == [r.id for r in rows.orderBy("x", "id").collect()]
+
+
 def test_text(spark):
     f = frame(spark, "a bigint, b string", [1, N], [N, "x"], layout=[2])
     assert f.show() == "1 | (null)\n(null) | x"
