@@ -51,21 +51,44 @@ class Frame:
             raise ValueError(f"column {name!r} exists")
         if valid is not None and len(valid) != len(values):
             raise ValueError("values and validity differ in length")
-        place = [(r[PART], r[POS]) for r in self.df.select(PART, POS).orderBy(PART, POS).collect()]
-        if len(place) != len(values):
-            raise ValueError(f"{len(values)} values for {len(place)} rows")
-        rows = [(*at, v if valid is None or valid[i] else None) for i, (at, v) in enumerate(zip(place, values, strict=True))]
-        vector = self.df.sparkSession.createDataFrame(rows, f"{PART} int, {POS} bigint, `{name}` {type_}")
-        return Frame(self.df.join(vector, [PART, POS], "left"))
+        sizes = self._sizes()
+        if sum(sizes.values()) != len(values):
+            raise ValueError(f"{len(values)} values for {sum(sizes.values())} rows")
+        shown = [v if valid is None or valid[i] else None for i, v in enumerate(values)]
+        place = [(p, i) for p in sorted(sizes) for i in range(sizes[p])]
+        rows = [(*at, v) for at, v in zip(place, shown, strict=True)]
+        vector = self.df.sparkSession.createDataFrame(rows, f"{PART} int, __rank bigint, `{name}` {type_}")
+        # Filters leave gaps in positions, so a vector meets ranks; it is local, so this table is no larger than the driver.
+        ranked = self.df.withColumn("__rank", (F.row_number().over(Window.partitionBy(PART).orderBy(POS)) - 1).cast("bigint"))
+        return Frame(ranked.join(vector, [PART, "__rank"], "left").drop("__rank"))
+
+    def _sizes(self) -> dict[int, int]:
+        """Rows of each logical partition: one number for each comes to the driver."""
+        return {r[PART]: r["n"] for r in self.df.groupBy(PART).agg(F.count("*").alias("n")).collect()}
 
     def constant(self, name: str, value: object) -> Frame:
         return Frame(self.df.withColumn(name, F.lit(value)))
 
+    def is_constant(self, name: str) -> bool:
+        """Whether all rows have the same value (NULL being one); true for an empty table."""
+        return self.df.agg(F.count_distinct(F.struct(name)) <= 1).first()[0]
+
+    def to_constant(self, name: str) -> object:
+        """The one value of a column that is constant; an error for others and for empty tables."""
+        got = self.df.select(name).distinct().limit(2).collect()
+        if len(got) != 1:
+            raise ValueError(f"column {name!r} has {'no' if not got else 'several'} values")
+        return got[0][0]
+
+    def truncate(self) -> Frame:
+        """No rows, the same columns."""
+        return Frame(self.df.limit(0))
+
     def push_index(self, index: Sequence[Sequence[int]], columns: Sequence[str]) -> Frame:
         """Read ``columns`` through a gather vector per partition: row i shows the value at ``index[part][i]``."""
         if missing := [c for c in columns if c not in self.columns]:
             raise ValueError(f"no column {', '.join(missing)}")
-        sizes = {r[PART]: r["n"] for r in self.df.groupBy(PART).agg(F.count("*").alias("n")).collect()}
+        sizes = self._sizes()
         for p, part in enumerate(index):
             if part and len(part) != sizes.get(p, 0):
                 raise ValueError(f"index of partition {p} has {len(part)} entries for {sizes.get(p, 0)} rows")

@@ -1,33 +1,20 @@
 """Order-insensitive 64-bit row hashes in which NULL counts as 2^64-1.
 
 A row's hash is the sum of its columns' hashes modulo 2^64, so the order of the columns does not matter and
-``row_hash(a, NULL) == row_hash(a) - 1``.
+``row_hash(a, NULL) == row_hash(a) - 1``. Hashes are the BIGINT of their 64 bits; ``unsigned`` shows them as numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = 2**64
 _LOW = 0xFFFFFFFF
 
 
-def row_hash(*cols: str | Column) -> Column:
-    """Portable form, DECIMAL(38,0) in [0, 2^64): the first 15 hex digits of md5 of each value's text."""
-    if not cols:
-        raise ValueError("row_hash needs a column")
-
-    def one(c: Column) -> Column:
-        digits = F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 15), 16, 10)
-        return F.when(c.isNull(), F.lit(str(_WORD - 1)).cast("decimal(38,0)")).otherwise(digits.cast("decimal(38,0)"))
-
-    total = reduce(lambda a, b: (a + b).cast("decimal(38,0)"), (one(F.col(c) if isinstance(c, str) else c) for c in cols))
-    return F.pmod(total, F.lit(str(_WORD)).cast("decimal(38,0)")).cast("decimal(38,0)")
-
-
 def _wrapping_add(a: Column, b: Column) -> Column:
     """a + b modulo 2^64 on signed longs, in halves since ANSI addition raises on overflow."""
     low = a.bitwiseAND(F.lit(_LOW)) + b.bitwiseAND(F.lit(_LOW))
@@ -35,22 +22,35 @@ def _wrapping_add(a: Column, b: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
 
 
-def fast_row_hash(*cols: str | Column) -> Column:
-    """Same contract on xxhash64, as the BIGINT of the same 64 bits (NULL is -1); stays in generated code."""
+def _md5_prefix(c: Column) -> Column:
+    """The first 15 hex digits of md5 of a value's text: 60 bits, so never negative."""
+    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def _combine(cols: tuple[str | Column, ...], one: Callable[[Column], Column]) -> Column:
     if not cols:
-        raise ValueError("fast_row_hash needs a column")
+        raise ValueError("a row hash needs a column")
     each = [F.col(c) if isinstance(c, str) else c for c in cols]
-    return reduce(_wrapping_add, (F.when(c.isNull(), F.lit(-1).cast("bigint")).otherwise(F.xxhash64(c)) for c in each))
+    return reduce(_wrapping_add, (F.when(c.isNull(), F.lit(-1).cast("bigint")).otherwise(one(c)) for c in each))
 
 
-def bucket(h: Column, bits: int) -> Column:
-    """The low ``bits`` bits of a hash, as INT."""
-    if not 0 < bits < 31:
-        raise ValueError("bits must lie in 1..30")
-    return F.pmod(h, F.lit(2**bits).cast("decimal(38,0)")).cast("int")
+def row_hash(*cols: str | Column) -> Column:
+    """Portable form, which any engine with md5 can repeat."""
+    return _combine(cols, _md5_prefix)
+
+
+def fast_row_hash(*cols: str | Column) -> Column:
+    """Same contract on xxhash64; stays in generated code."""
+    return _combine(cols, lambda c: F.xxhash64(c))
+
+
+def unsigned(h: Column) -> Column:
+    """The hash as a DECIMAL(20,0) in [0, 2^64)."""
+    return h.cast("decimal(20,0)") + F.when(h < 0, F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(F.lit("0").cast("decimal(20,0)"))
 
 
-def fast_bucket(h: Column, bits: int) -> Column:
+def bucket(h: Column, bits: int) -> Column:
+    """The low ``bits`` bits of a hash, as INT."""
     if not 0 < bits < 31:
         raise ValueError("bits must lie in 1..30")
     return h.bitwiseAND(F.lit(2**bits - 1)).cast("int")

@@ -9,18 +9,23 @@ from tessel.functions.registry import lookup
 from tessel.operators.positions import with_position
 
 
-def group_aggregate(df: DataFrame, keys: list[str | Column], **aggregates: tuple[str, str]) -> DataFrame:
-    """``GROUP BY keys`` with ``name=(operator, column)``; no keys: one global row.
+GROUPINGS = ("group", "rollup", "cube")
 
-    Spark aggregates partially before the exchange, so a hot key costs one row per task.
+
+def group_aggregate(df: DataFrame, keys: list[str | Column], grouping: str = "group", **aggregates: tuple[str, str]) -> DataFrame:
+    """``GROUP BY keys`` (or ROLLUP, or CUBE) with ``name=(operator, column)``; no keys: one global row.
+
+    The column of COUNT may be ``*``. Spark aggregates partially before the exchange, so a hot key costs one row per task.
     """
+    if grouping not in GROUPINGS:
+        raise ValueError(f"unknown grouping {grouping!r}; one of {', '.join(GROUPINGS)}")
     out = []
     for name, (op, column) in aggregates.items():
         if lookup(op, 1).kind != "aggregate":
             raise ValueError(f"{op!r} is no aggregate")
-        value = lookup(op, 1).build(F.col(column))
+        value = lookup(op, 1).build(F.lit(1) if column == "*" else F.col(column))
         out.append((F.coalesce(value, F.lit(0)) if op == "SUM" else value).alias(name))
-    return df.groupBy(*keys).agg(*out)
+    return {"group": df.groupBy, "rollup": df.rollup, "cube": df.cube}[grouping](*keys).agg(*out)
 
 
 def n_groups(df: DataFrame, keys: list[str], name: str = "n_groups") -> DataFrame:
@@ -29,16 +34,20 @@ def n_groups(df: DataFrame, keys: list[str], name: str = "n_groups") -> DataFram
 
 
 def group_ids(df: DataFrame, keys: list[str], order_by: list[str], name: str = "group_id") -> DataFrame:
-    """Ids 0..n-1 of the key tuples in order of first appearance under ``order_by`` (a unique order).
+    """Ids 0..n-1 of the key tuples in order of first appearance under ``order_by`` (a unique order, NULL first).
 
-    Three steps, none of which sends all rows to one task: rows get positions, one row per group keeps its
-    first position, the groups are numbered by it, and ids return by a NULL-safe join.
+    Only the first row of each group decides. The smallest leading value of each group is found first, in a hash
+    aggregate that is combined before its exchange; order tuples are compared among the rows that have it. The groups are
+    numbered by their first tuples and return by a NULL-safe join.
     """
-    rows = with_position(df, order_by, "__pos")
-    groups = rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min("__pos").alias("__first"))
+    named = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    lead, ours = F.col(f"`{order_by[0]}`"), [f"__k{i}" for i in range(len(keys))]
+    leads = df.groupBy(*named).agg(F.when(F.max(lead.isNull()), F.lit(None)).otherwise(F.min(lead)).alias("__lead"))
+    heads = df.join(leads, [*same, lead.eqNullSafe(F.col("__lead"))])
+    groups = heads.groupBy(*ours).agg(F.min(F.struct(*(f"`{c}`" for c in order_by))).alias("__first"))
     ids = with_position(groups, ["__first"], name).drop("__first")
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return rows.join(ids, on).drop("__pos", *(f"__k{i}" for i in range(len(keys))))
+    return df.join(ids, same).drop(*ours)
 
 
 def distinct_first(df: DataFrame, keys: list[str]) -> DataFrame:

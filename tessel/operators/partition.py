@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.hashing import bucket, fast_bucket, fast_row_hash, row_hash
+from tessel.functions.hashing import bucket, fast_row_hash, row_hash
 
 
 def histogram(df: DataFrame, bucket_col: Column, name: str = "bucket") -> DataFrame:
@@ -20,10 +20,12 @@ def write_offsets(df: DataFrame, bucket_col: Column, worker: Column) -> DataFram
     return counts.withColumn("write_offset", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
-def with_bucket(df: DataFrame, keys: list[str], bits: int, name: str = "bucket", portable: bool = True) -> DataFrame:
-    """``df`` with each row's bucket 0..2^bits-1; equal keys share one, all-NULL single keys take the last."""
-    h = bucket(row_hash(*keys), bits) if portable else fast_bucket(fast_row_hash(*keys), bits)
-    return df.withColumn(name, h)
+def with_bucket(df: DataFrame, keys: list[str], bits: int, name: str = "bucket", portable: bool = False) -> DataFrame:
+    """``df`` with each row's bucket 0..2^bits-1; equal keys share one, all-NULL single keys take the last.
+
+    ``portable`` takes the md5 hash that other engines can repeat, at several times the cost.
+    """
+    return df.withColumn(name, bucket((row_hash if portable else fast_row_hash)(*keys), bits))
 
 
 def hash_repartition(df: DataFrame, keys: list[str], bits: int, order_by: list[str] | None = None, partitions: int | None = None, name: str = "bucket", portable: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Row positions from a declared order, without a single-task window over all rows."""
+"""Row positions from a declared order, without a window over all rows in one task."""
 
 from __future__ import annotations
 
@@ -7,63 +7,64 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+#: Rows of the sample for each range: sizes of ranges differ by about a fifth then.
+_SAMPLED = 24
 
 
-def _number(df: DataFrame, name: str) -> Column | None:
-    """A DOUBLE that never falls as ``name`` rises in Spark's order; None for a type that has none here.
+def _cuts(df: DataFrame, order_by: list[str], ranges: int) -> DataFrame:
+    """One row with a struct: the ascending order tuples (``all``) that cut ``df`` into ``ranges`` parts of about equal
+    size, their leading values that are not NULL (``leads``), and how many are (``nulls``).
 
-    Text gives its first six bytes as a number: what they leave equal lies in one range.
+    They come from the rows of smallest hash, a sample of fixed size that any repetition of the query finds again.
     """
-    kind, c = dict(df.dtypes)[name], F.col(f"`{name}`")
-    if kind in _NUMERIC or kind.startswith("decimal"):
-        return c.cast("double")
-    if kind == "boolean":
-        return c.cast("int").cast("double")
-    if kind == "date":
-        return F.unix_date(c).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if kind in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return None
-
-
-def _range_of(x: Column, cuts: list[float]) -> Column:
-    """How many of the ascending ``cuts`` are not above ``x``: first by every step-th cut, then by those of one step."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, isqrt(len(cuts)))
-    up_to = lambda a: F.size(F.filter(a, lambda c: c <= x))
-    steps = up_to(F.array(*(F.lit(c) for c in cuts[step - 1 :: step])))
-    return steps * step + up_to(F.slice(F.array(*(F.lit(c) for c in cuts)), steps * step + 1, step))
+    order = [f"`{c}`" for c in order_by]
+    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(_SAMPLED * ranges)
+    got = sample.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("a"))
+    at = F.sequence(F.lit(1), F.lit(ranges - 1))
+    cuts = F.filter(F.transform(at, lambda i: F.get("a", F.floor(i * F.size("a") / ranges).cast("int"))), lambda c: c.isNotNull())
+    leads = F.array_compact(F.transform("all", lambda c: c[order_by[0]]))
+    return got.select(cuts.alias("all")).select(F.struct("all", leads.alias("leads"), (F.size("all") - F.size(leads)).alias("nulls")))
+
+
+def _with_range(df: DataFrame, order_by: list[str], ranges: int) -> DataFrame:
+    """``df`` with ``__range``: how many of the cuts are not above the row's order tuple.
+
+    Most rows are placed by their leading value alone; tuples are compared with the cuts of the same leading value only.
+    """
+    lead, step = F.col(f"`{order_by[0]}`"), max(1, isqrt(ranges))
+    # The subquery has to be a column before a lambda may read it.
+    out = df.withColumn("__cuts", _cuts(df, order_by, ranges).scalar())
+    leads = F.col("__cuts.leads")
+    # Leading values below the row's: first every step-th one, then those of one step.
+    below = lambda a: F.coalesce(F.size(F.filter(a, lambda c: c < lead)), F.lit(0))
+    steps = F.filter(F.sequence(F.lit(step), F.lit(ranges), F.lit(step)), lambda i: F.get(leads, i - 1) < lead)
+    out = out.withColumn("__step", F.coalesce(F.size(steps), F.lit(0)) * step)
+    under = F.when(lead.isNull(), F.lit(0)).otherwise(F.col("__cuts.nulls") + F.col("__step") + below(F.slice(leads, F.col("__step") + 1, step)))
+    out = out.withColumn("__under", under)
+    same = F.get("__cuts.all", F.col("__under"))[order_by[0]].eqNullSafe(lead) & (F.col("__under") < F.size("__cuts.all"))
+    mine = F.struct(*(f"`{c}`" for c in order_by))
+    rest = F.slice("__cuts.all", F.col("__under") + 1, F.size("__cuts.all"))
+    ties = F.when(same, F.size(F.filter(rest, lambda c: c[order_by[0]].eqNullSafe(lead) & (c <= mine)))).otherwise(0)
+    # Never NULL, so that the join on it needs no filter that would place each row once more.
+    return out.withColumn("__range", F.coalesce(F.col("__under") + ties, F.lit(0))).drop("__cuts", "__step", "__under")
 
 
 def with_position(df: DataFrame, order_by: list[str], name: str = "_pos", ranges: int | None = None) -> DataFrame:
-    """0-based position of each row under the unique order ``order_by``, as BIGINT.
+    """0-based position of each row under the unique order ``order_by`` (ascending, NULL first), as BIGINT.
 
-    The leading key's approximate quantiles (a sketch of bounded size, the only thing the driver sees) cut the
-    rows into ranges; rows are numbered inside each and shifted by the sizes of the ranges before, which is
-    a join with ``ranges`` rows. An order that leads with an array, map or struct is numbered by one global window.
+    Quantiles of the whole order tuple cut the rows into ranges; rows are numbered inside each and shifted by the sizes
+    of the ranges before, which is a broadcast of ``ranges`` rows. Nothing is collected; any orderable type may lead.
     """
     if not order_by:
         raise ValueError("positions need an order")
-    lead = _number(df, order_by[0])
-    order = [F.col(f"`{c}`").asc_nulls_first() for c in order_by]
-    if lead is None:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
     if ranges is None:
-        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leads = df.withColumn("__lead", lead)
-    cuts = sorted(set(leads.approxQuantile("__lead", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    # NULL leads come first, so they are in range 0.
-    rng = F.when(F.col("__lead").isNull(), F.lit(0)).otherwise(_range_of(F.col("__lead"), cuts))
-    cutted = leads.withColumn("__range", rng.cast("int")).drop("__lead")
-    sizes = cutted.groupBy("__range").agg(F.count("*").alias("__n"))
+        ranges = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in order_by]
+    ranged = _with_range(df, order_by, ranges) if ranges > 1 else df.withColumn("__range", F.lit(0))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     # One row for each range: bounded by ``ranges`` whatever the input.
     before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
-    numbered = cutted.withColumn("__in", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    numbered = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     return (
         numbered.join(F.broadcast(before), "__range")
         .withColumn(name, (F.col("__before") + F.col("__in") - 1).cast("bigint"))

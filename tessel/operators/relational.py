@@ -27,7 +27,7 @@ def as_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def set_operation(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    how_map = {"union_all": a.unionByName, "union": lambda x: a.unionByName(x).distinct(), "intersect": a.intersect, "except": a.subtract, "except_all": a.exceptAll}
+    how_map = {"union_all": a.unionByName, "union": lambda x: a.unionByName(x).distinct(), "intersect": a.intersect, "except": a.subtract, "intersect_all": a.intersectAll, "except_all": a.exceptAll}
     if how not in how_map:
         raise ValueError(f"unknown set operation {how!r}")
     return how_map[how](b)

@@ -101,16 +101,40 @@ def _fresh(df: DataFrame, base: str) -> str:
     return f"__{base}_{i}"
 
 
-def with_expression(df: DataFrame, name: str, expr: Node | str, scope: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with ``expr`` as column ``name``. ``scope``: columns put before the keys of every window.
+STRATEGIES = ("aggregate", "window")
 
-    A window inside another window or under a window's keys becomes a column of its own first, since SQL
-    has no nested windows; columns that share their keys share one exchange and one sort.
+
+def with_expression(df: DataFrame, name: str, expr: Node | str, scope: tuple[str, ...] = (), strategy: str = "aggregate") -> DataFrame:
+    """``df`` with ``expr`` as column ``name``. ``scope``: columns put before the keys of every aggregate.
+
+    An aggregate with keys has one value for each key tuple, shown in all of its rows. ``strategy`` says how, with equal
+    results: ``aggregate`` groups (combined before its exchange, so a hot key costs a row per task) and joins the
+    groups back NULL-safely, where Spark broadcasts few groups and splits a skewed key; ``window`` sends all rows of a key
+    to one task, which is one exchange less where nearly every key has few rows. Expressions have to be deterministic.
+
+    An aggregate inside another one or under its keys becomes a column of its own first.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
     temps: list[str] = []
 
-    def lower(node: Node, inside: bool) -> Column:
+    def attach(value: Column, keys: list[Column], zero: bool) -> Column:
         nonlocal df
+        temps.append(t := _fresh(df, "w"))
+        if strategy == "window":
+            # A literal key groups nothing; Window.partitionBy() over none is one global group.
+            df = df.withColumn(t, value.over(Window.partitionBy(*keys)))
+        elif not keys:
+            df = df.withColumn(t, df.agg(value.alias(t)).scalar())
+        else:
+            ours, theirs = [f"{t}_k{i}" for i in range(len(keys))], [f"{t}_g{i}" for i in range(len(keys))]
+            df = df.withColumns(dict(zip(ours, keys, strict=True)))
+            groups = df.groupBy(*(F.col(k).alias(g) for k, g in zip(ours, theirs, strict=True))).agg(value.alias(t))
+            same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(ours, theirs, strict=True)]
+            df = df.join(groups, same, "left").drop(*ours, *theirs)
+        return F.coalesce(F.col(t), F.lit(0)) if zero else F.col(t)
+
+    def lower(node: Node) -> Column:
         if isinstance(node, Col):
             return F.col(f"`{node.name}`")
         if isinstance(node, Lit):
@@ -123,27 +147,20 @@ def with_expression(df: DataFrame, name: str, expr: Node | str, scope: tuple[str
         if op.kind != "aggregate":
             if node.keys:
                 raise ValueError(f"{node.op!r} is no aggregate and takes no keys")
-            return op.build(*(lower(i, inside) for i in node.inputs))
-        inputs = [lower(i, True) for i in node.inputs]
-        keys = [*(F.col(f"`{c}`") for c in scope), *(lower(k, True) for k in node.keys)]
-        # A literal key groups nothing; Window.partitionBy() over none is one global group.
-        out = op.build(*inputs).over(Window.partitionBy(*keys))
-        if node.op == "SUM":
-            out = F.coalesce(out, F.lit(0))
-        if inside:
-            temps.append(t := _fresh(df, "w"))
-            df = df.withColumn(t, out)
-            return F.col(t)
-        return out
-
-    lowered = lower(_node(expr), False)
+            return op.build(*(lower(i) for i in node.inputs))
+        inputs = [lower(i) for i in node.inputs]
+        # A literal key groups nothing.
+        keys = [*(F.col(f"`{c}`") for c in scope), *(lower(k) for k in node.keys if not isinstance(k, Lit))]
+        return attach(op.build(*inputs), keys, node.op == "SUM")
+
+    lowered = lower(_node(expr))
     return df.withColumn(name, lowered).drop(*(t for t in temps if t != name))
 
 
-def where_expression(df: DataFrame, expr: Node | str, scope: tuple[str, ...] = ()) -> DataFrame:
-    """Rows for which ``expr`` is true; NULL drops the row. A window inside makes it QUALIFY."""
+def where_expression(df: DataFrame, expr: Node | str, scope: tuple[str, ...] = (), strategy: str = "aggregate") -> DataFrame:
+    """Rows for which ``expr`` is true; NULL drops the row. An aggregate inside makes it QUALIFY."""
     t = _fresh(df, "q")
-    return with_expression(df, t, expr, scope).where(F.col(t)).drop(t)
+    return with_expression(df, t, expr, scope, strategy).where(F.col(t)).drop(t)
 
 
 def assign(df: DataFrame, target: str, value: str) -> DataFrame:
