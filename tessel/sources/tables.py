@@ -6,16 +6,31 @@ DataFrame reach the Parquet reader by themselves.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
-def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet", **options) -> DataFrame:
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a local master may do with a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tessel-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def read_table(spark: SparkSession, base: str, name: str, fmt: str = "parquet", schema: StructType | str | None = None, **options) -> DataFrame:
     """Table ``name`` under the directory ``base`` (any URI that Spark's readers can open)."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; one of {', '.join(FORMATS)}")
-    return spark.read.format(fmt).options(**options).load(f"{base}/{name}.{fmt}")
+    reader = spark.read.format(fmt).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(f"{base}/{name}.{fmt}")
 
 
 def write_table(df: DataFrame, base: str, name: str, fmt: str = "parquet", mode: str = "error", partition_by: tuple[str, ...] = (), **options) -> None:

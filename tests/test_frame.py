@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from tessel import Frame, call, col, lit, slot
 from tessel.functions import registry
 from tessel.functions.hashing import fast_row_hash, row_hash
+from tessel.operators.aggregate import group_ids
 from tessel.operators.partition import hash_repartition, with_bucket
 from tessel.operators.positions import with_position
+from tessel.plans.expr import with_expression
 
 N = None
 LAYOUT = [2, 2, 2, 2, 1]
@@ -44,6 +46,23 @@ def test_push(spark):
         f.push_index([[5, 0]] + TWICE[1:], ["c"])
 
 
+def test_push_after_a_filter(spark):
+    f = frame(spark, "c bigint", range(1, 10)).filter(call(">", "c", lit(3))).push("d", list("abcdef"), "string")
+    assert list(zip(f.materialize("c"), f.materialize("d"), strict=True)) == list(zip(range(4, 10), "abcdef", strict=True))
+
+
+def test_constants(spark):
+    f = frame(spark, "c bigint", range(1, 10)).constant("k", None).constant("s", "x")
+    assert f.is_constant("k") and f.is_constant("s") and not f.is_constant("c")
+    assert f.to_constant("s") == "x" and f.to_constant("k") is None
+    with pytest.raises(ValueError, match="several values"):
+        f.to_constant("c")
+    none = f.truncate()
+    assert none.n_rows() == 0 and none.columns == ["c", "k", "s"] and none.is_constant("c")
+    with pytest.raises(ValueError, match="no values"):
+        none.to_constant("c")
+
+
 def test_add_assign(spark):
     f = frame(spark, "c1 bigint, c2 bigint", [1, N, *range(3, 10)], [*range(1, 9), N])
     assert f.assign("c1", "c2").materialize("c1") == [2, N, 6, 8, 10, 12, 14, 16, N]
@@ -123,6 +142,32 @@ def test_window_sum_by_scope(spark):
     assert g.with_expression("s", call("MAX", "v").over("k")).materialize("s") == [2, 2, N]
 
 
+@pytest.mark.parametrize("op", ["SUM", "COUNT", "MAX", "MIN", "AVG"])
+def test_a_hot_key_is_combined_before_its_exchange(spark, op):
+    """One key (a NULL) has nine of ten rows; both strategies agree, and only a partial result of the key is moved."""
+    rows = spark.range(20_000).selectExpr("if(id % 10 < 9, null, id % 77) as k", "if(id % 3 = 0, null, id) as v", "id")
+    a, b = (with_expression(rows, "s", call(op, "v").over("k"), strategy=s) for s in ("aggregate", "window"))
+    assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count() and a.count() == 20_000
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and f"partial_{op.lower()}" in plan
+    assert "Window" in b._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="unknown strategy"):
+        with_expression(rows, "s", call(op, "v").over("k"), strategy="other")
+
+
+def test_names_that_look_like_temporaries(spark):
+    f = frame(spark, "__w_0 bigint, __w_1_k0 bigint", [1, 2], [3, 3], layout=[2])
+    assert f.with_expression("s", call("+", "__w_0", call("SUM", "__w_0").over("__w_1_k0"))).materialize("s") == [4, 5]
+
+
+def test_group_ids_of_a_table(spark):
+    """Ties and NULLs in the leading column of the order."""
+    rows = spark.createDataFrame([(None, 3, "b"), (None, 1, "a"), (1, 1, "c"), (1, 0, None), (2, 9, "a"), (2, 8, None), (0, 5, "b")], "x int, y int, k string")
+    got = {(r.x, r.y): r.group_id for r in group_ids(rows, ["k"], ["x", "y"]).collect()}
+    assert got == {(None, 1): 0, (2, 9): 0, (None, 3): 1, (0, 5): 1, (1, 0): 2, (2, 8): 2, (1, 1): 3}
+    assert group_ids(rows.limit(0), ["k"], ["x", "y"]).collect() == []
+
+
 def test_empty_partitions_and_tables(spark):
     f = frame(spark, "v bigint", [1, 2], layout=[0, 2, 0])
     assert f.with_expression("s", call("<", "v", lit(2))).materialize("s") == [True, False]
@@ -140,10 +185,11 @@ def test_layout_from_a_dataframe(spark):
         Frame.from_dataframe(spark.range(3), ["id"], [1])
 
 
-@pytest.mark.parametrize("kind", ["string", "binary", "date", "timestamp", "boolean", "decimal(12,2)", "double", "bigint"])
+@pytest.mark.parametrize("kind", ["string", "binary", "date", "timestamp", "boolean", "decimal(12,2)", "double", "bigint", "array", "struct"])
 def test_positions_by_any_leading_type(spark, kind):
     numbers = F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise((F.col("id") * 7919) % 101)
-    lead = {"date": F.date_from_unix_date(numbers.cast("int")), "timestamp": F.timestamp_micros(numbers), "boolean": numbers % 2 == 0, "binary": numbers.cast("string").cast("binary")}.get(kind, numbers.cast(kind))
+    lead = {"date": F.date_from_unix_date(numbers.cast("int")), "timestamp": F.timestamp_micros(numbers), "boolean": numbers % 2 == 0, "binary": numbers.cast("string").cast("binary"), "array": F.array(numbers % 3, numbers), "struct": F.struct(numbers.alias("a"))}.get(kind)
+    lead = numbers.cast(kind) if lead is None else lead
     if kind == "string":
         lead = F.when(F.col("id") % 11 == 0, "").when(F.col("id") % 11 == 1, F.concat(F.lit("\u00e9 long "), lead)).otherwise(lead)
     rows = spark.range(300).select(lead.alias("x"), "id")
@@ -158,7 +204,9 @@ def test_text(spark):
 
 def test_registry():
     with pytest.raises(ValueError, match="unknown operator"):
-        call("-", "a", "b")
+        call("no such one", "a", "b")
+    with pytest.raises(ValueError, match="one or more"):
+        call("COALESCE")
     with pytest.raises(ValueError, match="takes 2 inputs"):
         call("+", "a")
     with pytest.raises(ValueError, match="registered already"):
