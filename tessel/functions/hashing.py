@@ -27,21 +27,26 @@ def _md5_prefix(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def _combine(cols: tuple[str | Column, ...], one: Callable[[Column], Column]) -> Column:
+def _each(cols: tuple[str | Column, ...], one: Callable[[Column], Column]) -> list[Column]:
     if not cols:
         raise ValueError("a row hash needs a column")
-    each = [F.col(c) if isinstance(c, str) else c for c in cols]
-    return reduce(_wrapping_add, (F.when(c.isNull(), F.lit(-1).cast("bigint")).otherwise(one(c)) for c in each))
+    return [F.when(c.isNull(), F.lit(-1).cast("bigint")).otherwise(one(c)) for c in (F.col(c) if isinstance(c, str) else c for c in cols)]
 
 
 def row_hash(*cols: str | Column) -> Column:
     """Portable form, which any engine with md5 can repeat."""
-    return _combine(cols, _md5_prefix)
+    return reduce(_wrapping_add, _each(cols, _md5_prefix))
 
 
 def fast_row_hash(*cols: str | Column) -> Column:
     """Same contract on xxhash64; stays in generated code."""
-    return _combine(cols, lambda c: F.xxhash64(c))
+    return reduce(_wrapping_add, _each(cols, lambda c: F.xxhash64(c)))
+
+
+def row_bucket(cols: list[str | Column], bits: int, portable: bool = False) -> Column:
+    """``bucket(fast_row_hash(*cols), bits)``, or of ``row_hash`` if ``portable``: low bits need no 64-bit addition."""
+    each = _each(tuple(cols), _md5_prefix if portable else lambda c: F.xxhash64(c))
+    return bucket(reduce(lambda a, b: a + b, (h.bitwiseAND(F.lit(_mask(bits))) for h in each)), bits)
 
 
 def unsigned(h: Column) -> Column:
@@ -49,8 +54,12 @@ def unsigned(h: Column) -> Column:
     return h.cast("decimal(20,0)") + F.when(h < 0, F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(F.lit("0").cast("decimal(20,0)"))
 
 
-def bucket(h: Column, bits: int) -> Column:
-    """The low ``bits`` bits of a hash, as INT."""
+def _mask(bits: int) -> int:
     if not 0 < bits < 31:
         raise ValueError("bits must lie in 1..30")
-    return h.bitwiseAND(F.lit(2**bits - 1)).cast("int")
+    return 2**bits - 1
+
+
+def bucket(h: Column, bits: int) -> Column:
+    """The low ``bits`` bits of a hash, as INT."""
+    return h.bitwiseAND(F.lit(_mask(bits))).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.hashing import bucket, fast_row_hash, row_hash
+from tessel.functions.hashing import row_bucket
 
 
 def histogram(df: DataFrame, bucket_col: Column, name: str = "bucket") -> DataFrame:
@@ -25,7 +25,7 @@ def with_bucket(df: DataFrame, keys: list[str], bits: int, name: str = "bucket",
 
     ``portable`` takes the md5 hash that other engines can repeat, at several times the cost.
     """
-    return df.withColumn(name, bucket((row_hash if portable else fast_row_hash)(*keys), bits))
+    return df.withColumn(name, row_bucket(keys, bits, portable))
 
 
 def hash_repartition(df: DataFrame, keys: list[str], bits: int, order_by: list[str] | None = None, partitions: int | None = None, name: str = "bucket", portable: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessel import Frame, call, col, lit, slot
 from tessel.functions import registry
-from tessel.functions.hashing import fast_row_hash, row_hash
+from tessel.functions.hashing import bucket, fast_row_hash, row_bucket, row_hash
 from tessel.operators.aggregate import group_ids
 from tessel.operators.partition import hash_repartition, with_bucket
 from tessel.operators.positions import with_position
@@ -106,6 +106,8 @@ def test_hashes(spark):
         assert h1[8] == 2**64 - 1
         assert int(rows[1].h2) % word == (h1[1] - 1) % word
         assert all(r.h2 == r.h3 for r in rows)
+        low = [row_bucket(x, 9, h is row_hash) == bucket(h(*x), 9) for x in (["a"], ["b", "a"])]
+        assert all(all(r) for r in f.df.select(*low).collect())
 
 
 @pytest.mark.parametrize("bits", [1, 2, 8, 12])
