@@ -2,7 +2,8 @@
 
 Each half-step takes the smallest neighbour of every node (combined before its exchange) and joins it to the edges;
 both sides are stored tables, so a node with a large share of all edges is split by Spark's skew join. A half-step
-never makes more edges than it has. The rounds grow with the logarithm of the graph's size.
+never makes more edges than it has. The rounds grow with the logarithm of the graph's size; should ``max_rounds`` of
+them not be enough, that is an error, never a partial result.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from tessel.llm.shared import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))), F.sum(F.shiftrightunsigned(h, 33))).first())
+    """Edges and two 64-bit digests of their set, which no number of edges overflows."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())
 
 
 def components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame:

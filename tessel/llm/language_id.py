@@ -9,7 +9,9 @@ A text is rejected if it has no letter or its calibrated score is far (``reject_
 those held-back texts reach: texts in two of the languages stay.
 
 The model is fitted on a bounded sample (``max_rows`` texts of ``max_bytes`` together) and applied to all rows.
-Texts without a letter, empty or NULL are ``und`` with score 0, as all texts are if nothing could be learned.
+Texts without a letter, empty or NULL are ``und`` with score 0, as all texts are if nothing could be learned. Rows with a NULL
+doc_id are predicted, not learned from; repeated rows are predicted alike and learned from once; an empty table gives
+no rows; columns that clash with ``names`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import labelled_sample, map_batches, row_sums
+from tessel.llm.shared import TABLE_CHARS, labelled_sample, map_batches, row_sums
 
 _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
@@ -60,27 +62,31 @@ class LanguageModel:
 
 
 class Scorer:
-    """Applies a model; keeps the sums of distinct words, up to ``limit`` of them."""
+    """Applies a model; keeps the sums of distinct words, up to ``limit`` of them or TABLE_CHARS characters."""
 
     def __init__(self, model: LanguageModel, limit: int = 300_000):
-        self.model, self.limit = model, limit
+        self.model, self.limit, self.chars = model, limit, 0
         self.row: dict[str, int] = {}
-        self.rows = np.zeros((0, len(model.langs) + 1))
+        self.rows = np.zeros((1024, len(model.langs) + 1))  # of ``row``; doubled when full
 
     def _words(self, words: list[str]) -> np.ndarray:
         """For each word: the sum of its subwords' rows, and their number."""
         new = list(dict.fromkeys(w for w in words if w not in self.row))
-        if len(self.row) + len(new) > self.limit:
+        if len(self.row) + len(new) > self.limit or self.chars > TABLE_CHARS:
             self.row.clear()
-            self.rows = self.rows[:0]
+            self.chars = 0
             new = list(dict.fromkeys(words))
         if new:
+            self.chars += sum(map(len, new))
+            while len(self.row) + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             grams, n = subwords([letters_only(w).lower() for w in new], self.model.bits)
             # A word without letters is only its two border marks.
             sums = row_sums(self.model.table[grams], n)
             real = np.array([any(map(str.isalpha, w)) for w in new])
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, np.column_stack([sums, n]) * real[:, None]])
+            a, b = len(self.row), len(self.row) + len(new)
+            self.row.update(zip(new, range(a, b), strict=True))
+            self.rows[a:b] = np.column_stack([sums, n]) * real[:, None]
         return self.rows[[self.row[w] for w in words]]
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -174,9 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: i
     return fit(labelled_sample(docs, labels, max_rows, max_bytes), **options)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred, score and ``rejected``, which replace columns of these names; others pass through."""
-    docs = docs.drop("lang_pred", "score", "rejected")
+def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with the language, its score and whether it is rejected under ``names``, which replace columns so named;
+    others pass through.
+    """
+    docs = docs.drop(*names)
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)  # bounded: 2^bits rows of a number per language
     others = docs.columns
@@ -187,12 +195,12 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = scorer.score(batch.column("text").to_pylist())
             reject = [x == "und" or s < scorer.model.reject_below for x, s in zip(langs, scores, strict=True)]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(reject, pa.bool_())], names=[*others, "lang_pred", "score", "rejected"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(reject, pa.bool_())], names=[*others, *names])
 
         return run
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, make, f"{kept}, lang_pred string, score double, rejected boolean")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    return map_batches(docs, make, f"{kept}`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def labels_of(docs: DataFrame) -> DataFrame:

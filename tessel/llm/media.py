@@ -4,7 +4,9 @@ A text's bytes, padded with spaces to a positive multiple of 192, are the 8-bit
 lossless, since a mu-law code is any byte. 192 samples are a frame of 24 ms at 8 kHz, and also one ADPCM block
 (4 bytes of header, 376 nibbles), so every step works on whole frames of all documents of a batch at once:
 a very long text is just many frames. All arithmetic is in integers: equal texts have equal values.
-NULL is the empty text, which is one frame of spaces.
+
+NULL is the empty text, which is one frame of spaces. Rows with a NULL doc_id and repeated rows are stored like any other,
+an empty table gives no rows, and columns beside doc_id and text do not matter.
 """
 
 from __future__ import annotations

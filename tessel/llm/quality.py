@@ -8,8 +8,12 @@ units and a logistic output, trained in numpy, give the score, whose temperature
 from training.
 
 The model is fitted on a bounded sample of labelled texts (``max_rows``, ``max_bytes``) and applied to all
-rows. Only text goes into a score. NULL, empty and blank texts are the zero mean and have a score too; with nothing to
-learn from all scores are 0.5.
+rows. Only text goes into a score. Tokens that are not among the ``entries`` most frequent of the sample, or occur in it
+twice at most, count by their shape.
+
+NULL, empty and blank texts are the zero mean and have a score too; with nothing to learn from all scores are 0.5. Rows with
+a NULL doc_id are scored, not learned from; repeated rows are scored alike and learned from once; an empty table gives
+no rows; columns beside doc_id and text do not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import labelled_sample, map_batches, row_sums
+from tessel.llm.shared import TABLE_CHARS, labelled_sample, map_batches, row_sums
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 WINDOW = 2
@@ -81,10 +85,10 @@ class QualityModel:
 
 
 class Pooler:
-    """Document vectors; keeps the sums of distinct words' token vectors, up to ``limit`` words."""
+    """Document vectors; keeps the sums of distinct words' token vectors, up to ``limit`` words or TABLE_CHARS characters."""
 
     def __init__(self, vocabulary: dict[str, int], vectors: np.ndarray, limit: int = 150_000):
-        self.vocabulary, self.vectors, self.limit = vocabulary, vectors, limit
+        self.vocabulary, self.vectors, self.limit, self.chars = vocabulary, vectors, limit, 0
         self.row: dict[str, int] = {}
         self.rows = np.zeros((1024, vectors.shape[1] + 1), np.float32)  # of ``row``; doubled when full
 
@@ -94,10 +98,12 @@ class Pooler:
 
     def _words(self, words: list[str]) -> np.ndarray:
         new = list(dict.fromkeys(w for w in words if w not in self.row))
-        if len(self.row) + len(new) > self.limit:
+        if len(self.row) + len(new) > self.limit or self.chars > TABLE_CHARS:
             self.row.clear()
+            self.chars = 0
             new = list(dict.fromkeys(words))
         if new:
+            self.chars += sum(map(len, new))
             while len(self.row) + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             entries = [[e for t in tokens(w) if (e := self.entry(t)) >= 0] for w in new]

@@ -5,8 +5,12 @@ before a marker. A text is then the sequence of its marked words (a run of marke
 next marker), each of which can be segmented alone: once for each distinct one, by the sentencepiece library itself.
 Ids and decoded text are joined by position. ``ChunkTable`` refuses vocabularies or normalizers for which this fails.
 
-Every worker keeps its own table, which is emptied at ``limit`` chunks: memory is bounded, nothing is shuffled,
-and a lost executor costs only its own tasks. NULL and empty texts have no ids and decode to the empty text.
+Every worker keeps its own table, which is emptied at ``limit`` chunks or ``limit_chars`` characters; a chunk of more than
+``longest`` characters (a whole text of a script without spaces) is segmented anew each time. So memory is bounded,
+nothing is shuffled, and a lost executor costs only its own tasks.
+
+NULL and empty texts have no ids and decode to the empty text; repeated rows, and rows with a NULL doc_id, are encoded
+like any other; an empty table gives no rows; ``keep`` columns pass through and may not be named like the output.
 """
 
 from __future__ import annotations
@@ -18,16 +22,16 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.shared import map_batches
+from tessel.llm.shared import TABLE_CHARS, map_batches
 
 MARK = "▁"
 _TABLES: dict[bytes, ChunkTable] = {}
 
 
 class ChunkTable:
-    def __init__(self, model: bytes, limit: int = 400_000):
+    def __init__(self, model: bytes, limit: int = 300_000, limit_chars: int = TABLE_CHARS, longest: int = 256):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.limit = limit
+        self.limit, self.limit_chars, self.longest, self.chars = limit, limit_chars, longest, 0
         self.rows: dict[str, tuple[array, str]] = {}
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         if any(MARK in p.lstrip(MARK) for p in pieces):
@@ -58,16 +62,21 @@ class ChunkTable:
 
     def look_up(self, chunks: list[str]) -> list[tuple[array, str]]:
         rows = self.rows
-        new = list({c for c in chunks if c not in rows})
-        if len(rows) + len(new) > self.limit:
+        if len(rows) > self.limit or self.chars > self.limit_chars:
             rows.clear()
-            new = list(set(chunks))
+            self.chars = 0
+        new = list({c for c in chunks if c not in rows})
         ids = self.sp.encode(new, num_threads=1)
+        once: dict[str, tuple[array, str]] = {}  # too long to keep
         for c, x, text in zip(new, ids, self.sp.decode(ids, num_threads=1) if new else [], strict=True):
-            rows[c] = (array("i", x), text)
-        if "" in rows and not rows[""][0]:  # the library gives nothing for the empty text; here it stands for one marker
-            rows[""] = (self.mark, "")
-        return [rows[c] for c in chunks]
+            # The library gives nothing for the empty text; here it stands for one marker.
+            row = (array("i", x), text) if c else (self.mark, "")
+            if len(c) <= self.longest:
+                rows[c] = row
+                self.chars += len(c)
+            else:
+                once[c] = row
+        return [rows[c] if len(c) <= self.longest else once[c] for c in chunks]
 
     def encode(self, texts: list[str | None]) -> tuple[list[array], list[str]]:
         """Ids and decoded text of each text."""

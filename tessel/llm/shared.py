@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessel.sources.tables import shared_base
+
 #: Bytes of text that numpy works on at once.
 CHUNK_BYTES = 4_000_000
 #: Rows of an Arrow batch: whole texts may be long, so batches have few rows.
 BATCH_ROWS = 512
 
 
+#: Characters of texts that a worker's table keeps, so that its memory is bounded whatever the words are.
+TABLE_CHARS = 4_000_000
+#: Bytes of a batch that an operator works on at once.
+PART_BYTES = 8_000_000
+
+_TEMPORARY: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one on a local master only."""
+    path = f"{shared_base(spark)}/tessel-{uuid.uuid4().hex}"
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
+    return path
 
-    Where that is unset (tests on one machine) a temporary folder is set as the session's.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tessel-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessel-{uuid.uuid4().hex}"
+
+@contextmanager
+def temporary_folders(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators ask for inside are deleted at the end; what is read later has to be stored elsewhere."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_TEMPORARY.pop())
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, i = {c.lower() for c in df.columns}, 0
+    while any(f"__{n}_{i}" in taken for n in names):
+        i += 1
+    return tuple(f"__{n}_{i}" for n in names)
 
 
 def stored(df: DataFrame, folder: str, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -46,8 +71,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of a batch sent to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lower the session's bound of the rows of a batch sent to Python to ``rows``; a lower one stays.
+
+    Spark reads the setting when a query runs, so it can't be put back here; it changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -78,47 +108,61 @@ def row_sums(values: np.ndarray, counts: Iterable[int]) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> list[tuple]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, least: int = 40) -> list[tuple]:
     """(text, label) pairs of a bounded sample of ``labels`` (doc_id, label), joined to ``docs``' whole texts.
 
-    The sample is the ids of smallest xxhash64, ``max_rows`` of them, and of those the first whose texts add up
-    to ``max_bytes`` at most (one at least); an id with several labels has the smallest. Sizes are
-    looked at before any text comes to the driver, which holds no more than the two bounds. Equal pairs count once.
+    The sample is ``max_rows`` ids of smallest xxhash64, among which ``least`` of each label come first, so that rare labels
+    are learned too; and of those the first whose texts add up to ``max_bytes`` at most (one at least). An id
+    with several labels or texts has the smallest. Sizes are looked at before any text comes to the driver, which
+    holds no more than the two bounds. Equal pairs count once.
     """
     spark = docs.sparkSession
     keys = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    first = keys.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # Limited in every task before the exchange, so a frequent label sends max_rows rows a task at most.
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("rank") <= max_rows)
+    first = ranked.orderBy(F.least("rank", F.lit(least + 1)), *order).limit(max_rows).collect()
     if not first:
         return []
-    order = {r["doc_id"]: i for i, r in enumerate(first)}
     # max_rows rows: small enough to broadcast whatever the input is.
-    chosen = F.broadcast(spark.createDataFrame([(i, k) for k, i in order.items()], "at int, __id bigint"))
+    chosen = F.broadcast(spark.createDataFrame([(i, r["doc_id"]) for i, r in enumerate(first)], "at int, __id bigint"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     path = shared_folder(spark)
-    picked = stored(texts.join(chosen, F.col("doc_id") == F.col("__id")).select("at", "text"), path, "sample")
-    sizes = picked.groupBy("at").agg(F.max(F.octet_length("text")).alias("n")).orderBy("at").collect()
+    picked = texts.join(chosen, F.col("doc_id") == F.col("__id")).groupBy("at").agg(F.min("text").alias("text"))
+    picked = stored(picked, path, "sample")
+    sizes = picked.select("at", F.octet_length("text").alias("n")).orderBy("at").collect()
     total, last = 0, None
     for r in sizes:
         total += r["n"]
         if last is not None and total > max_bytes:
             break
         last = r["at"]
-    got = picked.where(F.col("at") <= last).dropDuplicates(["at"]).collect() if last is not None else []
+    got = picked.where(F.col("at") <= last).collect() if last is not None else []
     discard(spark, path)
     return list(dict.fromkeys((r["text"], first[r["at"]]["label"]) for r in sorted(got, key=lambda r: r["at"])))
 
 
+def parts(batch: pa.RecordBatch, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut into runs of rows of ``limit`` bytes at most; a larger row is alone."""
+    if batch.num_rows > 1 and batch.nbytes > limit:
+        half = batch.num_rows // 2
+        yield from parts(batch.slice(0, half), limit)
+        yield from parts(batch.slice(half), limit)
+    elif batch.num_rows:
+        yield batch
+
+
 def map_batches(docs: DataFrame, make, schema: str) -> DataFrame:
     """``docs`` through a function of Arrow batches. ``make()`` runs once for each task and gives the function,
-    so a model or table is set up once; batches have at most BATCH_ROWS rows.
+    so a model or table is set up once; batches are bounded in rows and in bytes.
     """
     arrow_batches(docs.sparkSession)
 
     def run(batches):
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+            for part in parts(batch):
+                yield f(part)
 
     return docs.mapInArrow(run, schema)
 
@@ -126,20 +170,23 @@ def map_batches(docs: DataFrame, make, schema: str) -> DataFrame:
 class WordRows(dict):
     """bytes word -> its row in ``hashes`` (XXH64 of the word), added when first asked for."""
 
-    def __init__(self):
+    def __init__(self, limit: int = 400_000, limit_bytes: int = TABLE_CHARS):
         super().__init__()
         self.hashes = array("Q")
+        self.limit, self.limit_bytes, self.bytes = limit, limit_bytes, 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
+        self.bytes += len(word)
         self.hashes.append(xxhash.xxh64_intdigest(word))
         return at
 
-    def hashed(self, words: list[bytes], limit: int = 400_000) -> np.ndarray:
-        """uint64 hash of each word. The table is emptied first if it holds ``limit`` words."""
-        if len(self) > limit:
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        """uint64 hash of each word. The table is emptied first if it is over one of its limits."""
+        if len(self) > self.limit or self.bytes > self.limit_bytes:
             self.clear()
             del self.hashes[:]
+            self.bytes = 0
         rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         return np.frombuffer(self.hashes, dtype=np.uint64).copy()[rows]
 
