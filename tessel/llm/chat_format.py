@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprints, in DataFrame operations only.
 
-Layouts of prompt, instruction and message data are declared as mappings: field paths and an expression that gives an array
-of (role, text) turns. The fingerprint of a layout is the XXH64 of its sorted nested field paths. A table's
-schema, or each row of a JSON column, is reduced to the paths that some mapping knows, and the hash of those selects the
-mapping; other fields do not matter.
+Layouts of prompt, instruction, message and turn data are declared as mappings: field paths and an expression that gives
+an array of (role, text) turns. The fingerprint of a layout is the XXH64 of its sorted nested field paths. A
+table's schema, or the fields that are present in each record of a JSON column (NULL values too), is reduced to the
+paths that a mapping knows; if the hash of those is one that the mapping is registered under, the mapping is selected.
+Mappings go in order of declaration and the first that fits is taken; fields that it does not know do not matter.
 
 Turns are rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a backslash becomes
 ``\\b`` and ``<|`` becomes ``<\\p``, and in roles a line break becomes ``\\n``: no text can hold a control string, and
@@ -11,7 +12,9 @@ plain replacement in the reverse order gives the text back. The loss mask is the
 
 Edge cases: a NULL role or text is empty; rows of a conversation go by turn (NULL first), then role, then text;
 repeated rows are repeated turns; rows with a NULL conv_id are one conversation with that id; an empty table
-gives none; a JSON row that no mapping fits has a NULL layout and no turns.
+gives none; columns that clash with an output's name are replaced. A JSON record with an empty array of messages has no
+turns; field names of JSON records are compared as they are. A record that no mapping fits, as one that is not a JSON
+object, has a NULL layout and no turns, and ``rejects`` counts such records by their field paths.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from tessel.llm.shared import fresh
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 TRAINED = "assistant"
 _ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -95,60 +100,94 @@ def _instruction(get):
     return F.filter(F.array(F.when(get("system").isNotNull(), _turn("system", get("system"))), _turn("user", asked), _turn(TRAINED, get("output"))), lambda t: t.isNotNull())
 
 
+def _verbatim(get):
+    return F.transform(get("turns"), lambda m: F.struct(F.coalesce(m["role"], F.lit("")).alias("role"), F.coalesce(m["text"], F.lit("")).alias("text")))
+
+
 MAPPINGS = [
+    Mapping("turns", ("turns[].role", "turns[].text"), (), _verbatim),
     Mapping("messages", ("messages[].content", "messages[].role"), (), _messages("messages", "role", "content")),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), (), _messages("conversations", "from", "value")),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), _instruction),
     Mapping("prompt-completion", ("completion", "prompt"), ("system",), _prompt("completion")),
     Mapping("prompt-response", ("prompt", "response"), ("system",), _prompt("response")),
 ]
-KNOWN = sorted({p for m in MAPPINGS for p in (*m.required, *m.optional)})
-JSON_SCHEMA = "messages array<struct<role string, content string>>, conversations array<struct<`from` string, `value` string>>, instruction string, input string, output string, system string, prompt string, completion string, response string"
+#: Elements are read as maps, which tell a field that is NULL from one that is absent.
+ARRAYS = ("turns", "messages", "conversations")
+SCALARS = ("instruction", "input", "output", "system", "prompt", "completion", "response")
+JSON_SCHEMA = ", ".join([*(f"{a} array<map<string, string>>" for a in ARRAYS), *(f"{s} string" for s in SCALARS)])
+_JSON_OPTIONS = {"maxStringLen": str(2**31 - 1)}
+
 
+def registry(m: Mapping) -> list[int]:
+    """The fingerprints that select a mapping: its required paths with each choice of the optional ones, and an
+    empty array where it reads one."""
+    out = [fingerprint((*m.required, *more)) for n in range(len(m.optional) + 1) for more in combinations(m.optional, n)]
+    top = m.required[0].partition("[]")[0]
+    return [*out, fingerprint((f"{top}[]",))] if top in ARRAYS else out
 
-def registry() -> dict[int, Mapping]:
-    """Fingerprint -> mapping, for the required paths with each choice of the optional ones."""
-    out: dict[int, Mapping] = {}
-    for m in MAPPINGS:
-        for n in range(len(m.optional) + 1):
-            for more in combinations(m.optional, n):
-                if out.setdefault(fingerprint((*m.required, *more)), m) is not m:
-                    raise ValueError(f"mapping {m.name!r} has the layout of another")
-    return out
+
+def known_to(m: Mapping) -> list[str]:
+    top = m.required[0].partition("[]")[0]
+    return [*m.required, *m.optional, *([f"{top}[]"] if top in ARRAYS else [])]
 
 
 def turns_of_table(df: DataFrame, turns: str = "turns") -> DataFrame:
     """``df`` with an array of (role, text) by the mapping that its schema selects."""
-    have = [p for p in paths(df.schema) if p in KNOWN]
-    mapping = registry().get(fingerprint(have))
+    have = paths(df.schema)
+    mapping = next((m for m in MAPPINGS if fingerprint(set(have) & set(known_to(m))) in registry(m)), None)
     if mapping is None:
-        raise ValueError(f"no mapping for the fields {', '.join(have) or '(none known)'}")
+        raise ValueError(f"no mapping for the fields {', '.join(have) or '(none)'}")
     top = {c.lower(): c for c in df.columns}
     return df.withColumn(turns, mapping.turns(lambda name: F.col(f"`{top[name]}`") if name in top else F.lit(None).cast("string")))
 
 
-def _has(field: str) -> Callable[[Column], Column]:
-    return lambda m: m[field].isNotNull()
+def json_paths(raw: Column, parsed: Column) -> Column:
+    """Sorted nested paths of the fields present in a JSON object, NULL or not; ``[]`` marks the elements of an array."""
+    keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
+    nothing = F.array().cast("array<string>")
+
+    def inside(a: str) -> Column:
+        names = F.array_distinct(F.flatten(F.transform(parsed[a], lambda e: F.coalesce(F.map_keys(e), nothing))))
+        found = F.when(F.size(names) == 0, F.array(F.lit(f"{a}[]"))).otherwise(F.transform(names, lambda k: F.concat(F.lit(f"{a}[]."), k)))
+        return F.coalesce(found, nothing)
+
+    flat = F.filter(keys, lambda k: ~F.coalesce(F.array_contains(F.array(*(F.when(parsed[a].isNotNull(), F.lit(a)) for a in ARRAYS)), k), F.lit(False)))
+    return F.array_sort(F.array_distinct(F.concat(flat, *map(inside, ARRAYS))))
 
 
-def turns_of_json(df: DataFrame, column: str, layout: str = "layout", turns: str = "turns") -> DataFrame:
-    """``df`` with the layout's name and the turns of each row of a JSON column, whose rows may differ in layout."""
-    parsed = F.from_json(F.col(column), JSON_SCHEMA)
-    taken = {c.lower() for c in df.columns}
-    tmp = next(f"__chat_{i}" for i in range(len(taken) + 1) if f"__chat_{i}" not in taken)
-    rows = df.withColumn(tmp, parsed)
-    there = []
-    for p in KNOWN:
-        top, _, field = p.partition("[].")
-        c = F.col(f"{tmp}.`{top}`")
-        there.append(F.when(F.exists(c, _has(field)) if field else c.isNotNull(), F.lit(p)))
-    mark = F.xxhash64(F.array_join(F.array_sort(F.array_compact(F.array(*there))), " "))
+def turns_of_json(df: DataFrame, column: str, layout: str = "layout", turns: str = "turns", fields: str = "fields") -> DataFrame:
+    """``df`` with the layout's name, the turns and the field paths of each record of a JSON column, whose records may
+    differ in layout."""
+    read, there = fresh(df, "record", "paths")
+    rows = df.withColumn(read, F.from_json(F.col(column), JSON_SCHEMA, _JSON_OPTIONS))
+    rows = rows.withColumn(there, json_paths(F.col(column), F.col(read)))
     name, out = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
-    for m in MAPPINGS:
-        prints = [h for h, x in registry().items() if x is m]
-        name = F.when(mark.isin(prints), F.lit(m.name)).otherwise(name)
-        out = F.when(mark.isin(prints), m.turns(lambda n: F.col(f"{tmp}.`{n}`"))).otherwise(out)
-    return rows.withColumns({layout: name, turns: out}).drop(tmp)
+    for m in reversed(MAPPINGS):  # so that the first that fits is asked first
+        mark = F.xxhash64(F.array_join(F.array_intersect(there, F.array(*(F.lit(p) for p in sorted(known_to(m))))), " "))
+        fits = mark.isin(registry(m))
+        name = F.when(fits, F.lit(m.name)).otherwise(name)
+        out = F.when(fits, m.turns(lambda n: F.col(f"`{read}`.`{n}`"))).otherwise(out)
+    return rows.withColumns({layout: name, turns: out, fields: F.col(there)}).drop(read, *([there] if there != fields else []))
+
+
+def rejects(read: DataFrame, layout: str = "layout", fields: str = "fields") -> DataFrame:
+    """(fields, n): how many records of ``turns_of_json``'s result fit no mapping, by their field paths."""
+    return read.where(F.col(layout).isNull()).groupBy(F.array_join(fields, " ").alias("fields")).agg(F.count("*").alias("n"))
+
+
+def records_of_rows(rows: DataFrame) -> DataFrame:
+    """(conv_id, record) from (conv_id, turn, role, text) rows, which go by turn (NULL first), role and text: each conversation as a JSON record in the plainest layout
+    that holds it: prompt and completion, with a system text before it or not, or else its turns."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    text = lambda i: F.get("t", F.lit(i))["text"]
+    said = F.array_join(F.transform("t", lambda x: F.concat(F.length(x["role"]).cast("string"), x["role"])), "")
+    as_json = lambda s: F.to_json(s, {"ignoreNullFields": "false"})
+    short = F.struct(text(0).alias("prompt"), text(1).alias("completion"))
+    system = F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("completion"))
+    whole = F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    return packed.select("conv_id", F.when(said == "4user9assistant", as_json(short)).when(said == "6system4user9assistant", as_json(system)).otherwise(as_json(whole)).alias("record"))
 
 
 # Rendering
@@ -178,6 +217,12 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     )
 
 
+def format_turns(conversations: DataFrame, turns: str = "turns") -> DataFrame:
+    """``format_conversations`` of (conv_id, turns) rows, one for each conversation; those without turns are left out."""
+    rows = conversations.select("conv_id", F.posexplode(turns).alias("turn", "said"))
+    return format_conversations(rows.select("conv_id", "turn", "said.role", "said.text"))
+
+
 def read_back(formatted: Column) -> Column:
     """Array of (role, text) parsed from a formatted conversation alone."""
     parts = F.slice(F.split(formatted, r"<\|im_start\|>", -1), 2, 2**31 - 2)

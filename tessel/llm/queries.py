@@ -68,10 +68,14 @@ _HARD = "<|im_end|><|im_start|>assistant ok"
 
 
 def op5_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    """Turn rows are packed as JSON records of the layout that suits each conversation; what their fingerprints select
+    gives the turns back, which are formatted."""
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     hard = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(_HARD).alias("text"))
-    return chat_format.digests(chat_format.format_conversations(rows.unionByName(hard)))
+    records = chat_format.records_of_rows(rows.unionByName(hard))
+    turns = chat_format.turns_of_json(records, "record")
+    return chat_format.digests(chat_format.format_turns(turns))
 
 
 _OP5_SQL = f"""
@@ -104,6 +108,28 @@ def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.contained_items(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[' || " + _SPACE + " || ']+'), x -> x <> '')"
+_OP8_SQL = f"""
+with items as (
+  select row_number() over () as item, item_id, {_WORDS} as w from benchmark
+), item_shingles as (
+  select distinct item, item_id, m, array_to_string(w[i : i + m - 1], ' ') as s
+  from (select item, item_id, w, least(5, len(w)) as m, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from items where len(w) > 0) p
+), sizes as (
+  select item, m, count(*) as n_item from item_shingles group by item, m
+), docs as (
+  select row_number() over () as doc, doc_id, {_WORDS} as w from documents
+), doc_shingles as (
+  select distinct doc, m, array_to_string(w[i : i + m - 1], ' ') as s
+  from (select doc, w, m, unnest(range(1, len(w) - m + 2)) as i from docs, (select distinct m from sizes) x where len(w) >= m) p
+), met as (
+  select doc, item, item_id, count(*) as n_shared from doc_shingles d join item_shingles i on d.m = i.m and d.s = i.s group by doc, item, item_id
+)
+select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment
+from met join sizes using (item) join docs using (doc) where n_shared >= ceil(0.8 * n_item - 1e-9)
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode_decode(_docs(spark, d), model_bytes()))
 
@@ -123,7 +149,7 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op5_chat_format": (op5_chat_format, _OP5_SQL),
     "op6_simhash": (op6_simhash, None),
     "op7_lm_scoring": (op7_lm_scoring, None),
-    "op8_decontamination": (op8_decontamination, None),
+    "op8_decontamination": (op8_decontamination, _OP8_SQL),
     "op9_sentencepiece": (op9_sentencepiece, None),
     "op10_language_id": (op10_language_id, None),
 }

@@ -67,9 +67,41 @@ def test_layouts_of_json_rows(spark):
         ({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "q"}]}, "messages", [("system", "s"), ("user", "q")]),
         ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "conversations", [("user", "q"), ("assistant", "a")]),
         ({"instruction": "i", "input": "", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
+        ({"prompt": "p", "completion": None}, "prompt-completion", [("user", "p"), ("assistant", "")]),
+        ({"messages": [{"role": "user", "content": None}]}, "messages", [("user", "")]),
+        ({"messages": []}, "messages", []),
+        ({"prompt": "p", "completion": "c", "response": "r"}, "prompt-completion", [("user", "p"), ("assistant", "c")]),
+        ({"prompt": "p", "completion": "c", "input": "i"}, "prompt-completion", [("user", "p"), ("assistant", "c")]),
+        ({"prompt": "p", "completion": "c", "messages": [{"role": "GPT", "content": "m"}]}, "messages", [("assistant", "m")]),
+        ({"prompt": "p", "completion": "c", "messages": None}, "prompt-completion", [("user", "p"), ("assistant", "c")]),
+        ({"prompt": "p", "completion": "c", "messages": "text"}, "prompt-completion", [("user", "p"), ("assistant", "c")]),
+        ({"messages": [{"role": "user"}, {"role": "bot", "content": "x", "more": {"a": [1]}}]}, "messages", [("user", ""), ("assistant", "x")]),
+        ({"turns": [{"role": "Human", "text": "t\n\u2028\"\\"}]}, "turns", [("Human", "t\n\u2028\"\\")]),
+        ({"system": None, "prompt": "p", "response": "r"}, "prompt-response", [("user", "p"), ("assistant", "r")]),
+        ({"prompt": "p"}, None, []),
+        ({"messages": [{"role": "user"}]}, None, []),
+        ([1, 2], None, []),
         ({"nothing": 1}, None, []),
         (None, None, []),
     ]
     t = spark.createDataFrame([(i, None if r is None else json.dumps(r), "x") for i, (r, _, _) in enumerate(rows)], "id int, raw string, layout string")
-    for r in chat_format.turns_of_json(t, "raw").collect():
+    read = chat_format.turns_of_json(t, "raw")
+    assert {tuple(r) for r in chat_format.rejects(read).collect()} == {("prompt", 1), ("messages[].role", 1), ("nothing", 1), ("", 2)}
+    assert read.columns == ["id", "raw", "layout", "turns", "fields"]
+    for r in read.collect():
         assert r.layout == rows[r.id][1] and [tuple(x) for x in r.turns] == rows[r.id][2]
+
+
+def test_records_hold_every_conversation(spark):
+    """Through JSON layouts and back: the same turns as without, whatever is in them; no Python in the plan."""
+    rows = [(c, i, role, t) for c, role in enumerate(["user", "assistant", None, "Human", "4user"]) for i, t in enumerate(NASTY)]
+    rows += [(20, 0, "user", "q"), (20, 1, "assistant", "a"), (21, 0, "system", None), (21, 1, "user", None), (21, 2, "assistant", "x"), (22, 1, "user", "late"), (22, None, "assistant", "first"), (None, 0, "user", "nobody"), (None, 0, "user", "nobody")]
+    rows += [(23, 0, "user", "w" * 25_000_000), (23, 1, "assistant", "a")]
+    t = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    read = chat_format.turns_of_json(chat_format.records_of_rows(t), "record")
+    layouts = {r.conv_id: r.layout for r in read.select("conv_id", "layout").collect()}
+    assert layouts == {0: "turns", 1: "turns", 2: "turns", 3: "turns", 4: "turns", 20: "prompt-completion", 21: "prompt-completion", 22: "turns", None: "turns", 23: "prompt-completion"}
+    got, want = chat_format.digests(chat_format.format_turns(read)), chat_format.digests(chat_format.format_conversations(t))
+    assert got.count() == 10 and got.exceptAll(want).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

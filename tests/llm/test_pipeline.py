@@ -62,3 +62,36 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.collect() == []
+
+
+def test_clashes_repeats_and_leaks(spark):
+    """Columns named like the operators' own, repeated rows, leaked rows without a doc_id, a very long text."""
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    long = "a very long text of one line and of plain words " * 60_000
+    texts = [(1, "the first of the texts here is short"), (1, "the first of the texts here is short"), (2, "the first of the texts here is short"), (None, f"before it {leak} and after"), (4, f"so it is: {leak}"), (5, long), (6, ""), (7, None), (8, "the second of the texts is also short")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 42.0, "mine", "x", "k") for d, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, rejected string, lang_pred string, `__t1_0` string")
+    own = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        own[name] = rows = docs.collect()
+        assert docs.columns[5:] == ["score", "rejected", "lang_pred", "__t1_0"]
+        assert all(tuple(r)[5:] == (42.0, "mine", "x", "k") for r in rows)
+    ids = {name: sorted((r.doc_id or 0) for r in rows) for name, rows in own.items()}
+    assert ids["language ID"] == [0, 1, 1, 2, 4, 5, 8]
+    assert ids["line dedup"] == [0, 1, 1, 2, 4, 5, 8]
+    assert ids["SimHash near-dedup"] == [0, 1, 2, 4, 5, 8]  # the text of 2 went with its line: a group of its own
+    assert ids["benchmark decontamination"] == [1, 2, 5, 8]
+    assert {r.doc_id: r.text for r in own["line dedup"] if r.doc_id in (2, 5)} == {2: "", 5: long}
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == {r.doc_id: len(sentencepiece.SentencePieceProcessor(model_proto=MODEL).encode(r.text)) for r in own["benchmark decontamination"]}
+
+
+def test_stored_tables_go(spark, tmp_path):
+    """A run leaves its last stage's input and nothing else."""
+    base = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/c")
+    try:
+        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+        assert sorted("/".join(p.relative_to(f"{tmp_path}/c").parts[1:]) for p in (tmp_path / "c").glob("*/*")) == ["stage-3"]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", base)
