@@ -64,10 +64,52 @@ def test_levels(spark, tmp_path):
         index.add(line_dedup.line_hashes(docs))
     assert [len(x) for x in index.levels] == [1, 0, 1]
     assert sorted(r.owner for r in index.runs().collect()) == [0, 0, 1, 2, 3, 4]
+    index.close()
     with pytest.raises(ValueError):
         line_dedup.LineIndex(spark, "x", 1)
 
 
+def test_runs_are_merged_where_they_lie(spark, tmp_path):
+    """A batch is shuffled once; runs are neither moved nor sorted. A hot key is combined before it moves."""
+    index = line_dedup.LineIndex(spark, f"file://{tmp_path}/i", fanout=3, buckets=7)
+    docs = [spark.createDataFrame([(100 * i + j, f"line {j} of batch {i}\nline of all batches") for j in range(50)], "doc_id bigint, text string") for i in range(3)]
+    for batch in docs[:2]:
+        index.add(line_dedup.line_hashes(batch))
+    with index._settings():
+        unknown = index.unknown(line_dedup.line_hashes(docs[2]))
+        rows = unknown.collect()
+        plan = unknown._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(rows) == 50
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count(" Sort ") == 1
+    assert plan.count("HashAggregate") == 2 and plan.count("Bucketed: true") == 2
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    index.close()
+
+
+def test_open_and_add(spark, tmp_path):
+    folder = f"file://{tmp_path}/i"
+    batches = [spark.createDataFrame([(i, f"line of batch {i}\nline of all batches")], "doc_id bigint, text string") for i in range(5)]
+    index = line_dedup.LineIndex(spark, folder, fanout=2, buckets=3)
+    for batch in batches[:3]:
+        index.add(line_dedup.line_hashes(batch))
+    index.close()
+    # A batch that was cut off: its run is there, no manifest names it.
+    (tmp_path / "i" / "run-5").mkdir()
+    (tmp_path / "i" / "run-5" / "part-0.parquet").write_bytes(b"cut off")
+    again = line_dedup.LineIndex.open(spark, folder)
+    assert (again.levels, again.made, again.buckets, again.fanout) == (index.levels, index.made, 3, 2)
+    for batch in batches[3:]:
+        again.add(line_dedup.line_hashes(batch))
+    assert [len(x) for x in again.levels] == [1, 0, 1]
+    assert sorted(r.owner for r in again.runs().collect()) == [0, 0, 1, 2, 3, 4]
+    lost = again.drops(line_dedup.line_hashes(batches[4])).collect()
+    assert [(r.doc_id, r.pos) for r in lost] == [(4, 1)]
+    again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    with pytest.raises(FileNotFoundError):
+        line_dedup.LineIndex.open(spark, f"file://{tmp_path}/none")
+
+
 def test_query(spark):
     assert_same(queries.op1_line_dedup(spark, SF), connect(SF), queries.oracle_sql()["op1_line_dedup"])
 
