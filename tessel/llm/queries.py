@@ -108,7 +108,7 @@ def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.contained_items(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
-_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[' || " + _SPACE + " || ']+'), x -> x <> '')"
+_WORDS = "[x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[' || " + _SPACE + " || ']+') if x <> '']"
 _OP8_SQL = f"""
 with items as (
   select row_number() over () as item, item_id, {_WORDS} as w from benchmark
