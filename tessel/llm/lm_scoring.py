@@ -7,7 +7,8 @@ words. The vocabulary's scores are where this starts; ``em_steps`` rounds of exp
 training words fit them to the corpus. Training words have an edge of their own, their discounted
 relative frequency, and the discount's mass goes to the corpus-wide frequency and to the spelling. All this is
 kept for each of a few classes of training texts; the score is the log10 of the class-weighted sum of a text's
-probabilities, so no class has to be known for the text that is scored.
+probabilities, so no class has to be known for the text that is scored. Beside it stands ``lattice_score``, the marginal
+probability under the lattice of the vocabulary's own scores alone, which nothing of the corpus changes.
 
 Flow: a pass over the texts writes blocks (up to ``block_bytes`` of text each) of encoded texts and of the block's distinct
 words with their training counts; words are summed over blocks, scored once each, and sent back to the
@@ -187,7 +188,7 @@ def encode_blocks(docs: DataFrame, classes: int, block_bytes: int) -> DataFrame:
                     np.add.at(tally[k], rows, 1)
                 bags.append(_pack(rows))
                 blocks.append(base + block)
-                size += len(text or "")
+                size += sum(map(len, split)) + len(split)
                 if size >= block_bytes:
                     ready.append(words())
                     ids.clear()
@@ -260,28 +261,33 @@ class WordModel:
     """Log probabilities of words by class from counts and spelling."""
 
     def __init__(self, lattice: Lattice, totals: np.ndarray, types: np.ndarray, all_types: int, docs: np.ndarray):
-        self.lattice, self.totals, self.types = lattice, totals, types
+        own = Lattice.initial(lattice.vocabulary, 1)
+        # One more class, so that the vocabulary's own lattice is summed over the same edges.
+        self.lattice = Lattice(lattice.vocabulary, np.hstack([lattice.log_p, own.log_p]), np.append(lattice.stop, own.stop))
+        self.totals, self.types = totals, types
         self.n, self.v = int(totals.sum()), all_types
         self.log_prior = np.log((docs + 1) / (docs + 1).sum())
 
     def log_p(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        spelled = self.lattice.spelling(words)
+        """One column for each class, then one of the vocabulary's own lattice."""
+        both = self.lattice.spelling(words)
+        spelled, own_lattice = both[:, :-1], both[:, -1:]
         if not self.n:
-            return spelled
+            return both
         corpus = counts.sum(axis=1, keepdims=True) / self.n
         rest = np.where(self.totals > 0, DISCOUNT * self.types / np.maximum(self.totals, 1), 1.0)
         own = np.maximum(counts - DISCOUNT, 0) / np.maximum(self.totals, 1)
         with np.errstate(divide="ignore"):
             seen = np.log(own + rest * CORPUS_SHARE * corpus)
-        return np.logaddexp(seen, np.log(rest * (1 - CORPUS_SHARE)) + spelled)
+        return np.hstack([np.logaddexp(seen, np.log(rest * (1 - CORPUS_SHARE)) + spelled), own_lattice])
 
 
 def score(docs: DataFrame, model: bytes, held_out: Column, class_of: Column | None = None, max_classes: int = 6, block_bytes: int = 32_000_000, em_steps: int = 2, folder: str | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of each row of ``docs``.
 
     ``held_out``: of doc_id; rows for which it is true (and those without a doc_id) are not learned from. ``class_of``: a
     label of training texts, of which the ``max_classes`` - 1 most frequent are told apart. ``base_score`` is the
-    log10 probability under add-0.1 word frequencies; ``score`` is the lattice model's.
+    log10 probability under add-0.1 word frequencies; ``score`` is the model's, ``lattice_score`` the vocabulary's own lattice's.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
@@ -310,13 +316,13 @@ def score(docs: DataFrame, model: bytes, held_out: Column, class_of: Column | No
     lattice = fit_lattice(words, Vocabulary(model), classes, em_steps if n else 0)
     word_model = WordModel(lattice, totals, types, v, ends)
     shipped = spark.sparkContext.broadcast(word_model)  # bounded by the vocabulary
-    logs = [f"p{k}" for k in range(classes)]
+    logs = [f"p{k}" for k in range(classes + 1)]
 
     def weigh(batches):
         for t in _regroup(batches):
             found = np.column_stack([t.column(c).to_numpy() for c in counts])
             log_p = shipped.value.log_p(_texts(t.column("word")), found).astype(np.float32)
-            cols = [t.column("word").combine_chunks(), pa.array(found.sum(axis=1)), *(pa.array(np.ascontiguousarray(log_p[:, k])) for k in range(classes))]
+            cols = [t.column("word").combine_chunks(), pa.array(found.sum(axis=1)), *(pa.array(np.ascontiguousarray(log_p[:, k])) for k in range(classes + 1))]
             yield pa.RecordBatch.from_arrays(cols, names=["word", "c", *logs])
 
     weighed = stored(words.mapInArrow(weigh, "word binary, c bigint, " + ", ".join(f"{p} float" for p in logs)), folder, "weighed")
@@ -330,14 +336,15 @@ def score(docs: DataFrame, model: bytes, held_out: Column, class_of: Column | No
         c = table["c"].to_numpy()[order].astype(float)
         log_p = table[logs].to_numpy()[order].astype(np.float64)
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        out = np.empty((len(bags), 4))
+        out = np.empty((len(bags), 5))
         for i, bag in enumerate(bags["bag"]):
             at, times = _unpack(bag)
-            joint = times @ log_p[at] + prior
+            sums = times @ log_p[at]
+            joint = sums[:-1] + prior
             best = joint.max()
-            out[i] = times.sum(), times[c[at] > 0].sum(), times @ base[at], (best + np.log(np.exp(joint - best).sum())) / np.log(10)
+            out[i] = times.sum(), times[c[at] > 0].sum(), times @ base[at], (best + np.log(np.exp(joint - best).sum())) / np.log(10), sums[-1] / np.log(10)
         whole = out[:, :2].astype(np.int64)
-        return pd.DataFrame({"doc_id": bags["doc_id"], "held_out": bags["held_out"], "n_tokens": whole[:, 0], "n_known": whole[:, 1], "train_tokens": n, "base_score": out[:, 2], "score": out[:, 3]})
+        return pd.DataFrame({"doc_id": bags["doc_id"], "held_out": bags["held_out"], "n_tokens": whole[:, 0], "n_known": whole[:, 1], "train_tokens": n, "base_score": out[:, 2], "score": out[:, 3], "lattice_score": out[:, 4]})
 
-    return texts.groupBy("block").cogroup(parts.groupBy("of")).applyInPandas(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return texts.groupBy("block").cogroup(parts.groupBy("of")).applyInPandas(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double")
 

@@ -32,18 +32,66 @@ def base_rows(docs):
 
 def check(got, docs):
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    plain = lm_scoring.Lattice.initial(Vocabulary(MODEL), 1)
     got, want = sorted(map(tuple, got), key=key), sorted(base_rows(docs), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-9)
     assert all(r[6] < 0 and math.isfinite(r[6]) for r in got)
+    distinct = sorted({w for _, t in docs for w in [*words_of(t), ""]})
+    spelled = dict(zip(distinct, plain.spelling(distinct)[:, 0] / math.log(10), strict=True))
+    marginal = sorted(sum(spelled[w] for w in [*words_of(t), ""]) for _, t in docs)
+    assert np.allclose(sorted(r[7] for r in got), marginal, rtol=1e-5)
     return got
 
 
+def brute_scores(docs, label_of, em_steps=2):
+    """``score`` word by word in plain Python; only the fitted lattice comes from the module."""
+    train = [(label_of[i], [*words_of(t), ""]) for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 10]
+    freq = Counter(x for x, _ in train if x)
+    labels = [""] + sorted(freq, key=lambda x: (-freq[x], x))[:5]
+    n = [Counter(w for x, ws in train if (x if x in labels else "") == k for w in ws) for k in labels]
+    words = sorted({w for _, t in docs for w in [*words_of(t), ""]})
+    lattice = lm_scoring.Lattice.initial(Vocabulary(MODEL), len(labels))
+    seen = [w for w in words if any(c[w] for c in n)]
+    weights = np.array([[float(c[w] > 0) for c in n] for w in seen])
+    for _ in range(em_steps):
+        lattice = lattice.refit(np.round(lattice.expected(seen, weights), 6), weights.sum(axis=0))
+    spelled = dict(zip(words, lattice.spelling(words), strict=True))
+    everything = sum((c for c in n), Counter())
+    total = sum(everything.values())
+
+    def p(w, k):
+        own, size = n[k], sum(n[k].values())
+        rest = 0.7 * len(own) / size if size else 1.0
+        return max(own[w] - 0.7, 0) / max(size, 1) + rest * (0.3 * everything[w] / total + 0.7 * math.exp(spelled[w][k]))
+
+    prior = [c[""] + 1 for c in n]
+    out = []
+    for _, t in docs:
+        joint = [math.log(prior[k] / sum(prior)) + sum(math.log(p(w, k)) for w in [*words_of(t), ""]) for k in range(len(labels))]
+        best = max(joint)
+        out.append((best + math.log(sum(math.exp(j - best) for j in joint))) / math.log(10))
+    return out
+
+
+def test_score_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10**6 + i, t, x) for i, (t, x) in enumerate([(None, "en"), ("", None), ("a b a", "rare"), ("x" * 200, "en")])]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = lm_scoring.score(table, MODEL, remainder(F.col("doc_id"), 10) == 0, F.col("lang")).collect()
+    want = brute_scores([r[:2] for r in rows], {r[0]: r[2] for r in rows})
+    assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-5)
+
+
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = check(queries.op7_lm_scoring(spark, SF).collect(), docs)
     held = [r for r in got if r[1]]
-    print("held out, log10 a token: base", sum(r[5] for r in held) / sum(r[2] for r in held), "lattice", sum(r[6] for r in held) / sum(r[2] for r in held), "unknown", 1 - sum(r[3] for r in held) / sum(r[2] for r in held))
+    tokens = sum(r[2] for r in held)
+    score, lattice = (sum(r[k] for r in held) / tokens for k in (6, 7))
+    print("held out, log10 a token: base", sum(r[5] for r in held) / tokens, "score", score, "own lattice", lattice, "unknown", 1 - sum(r[3] for r in held) / tokens)
+    # A model of words that can spell unknown ones beats the vocabulary's own lattice by far on texts not learned from.
+    assert score > -4.5 and score > lattice + 1
 
 
 def test_edge_cases_and_blocks(spark):
