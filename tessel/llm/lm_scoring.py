@@ -12,7 +12,8 @@ probability under the lattice of the vocabulary's own scores alone, which nothin
 
 Flow: a pass over the texts writes blocks (up to ``block_bytes`` of text each) of encoded texts and of the block's distinct
 words with their training counts; words are summed over blocks, scored once each, and sent back to the
-blocks, where texts are added up. What meets in one task is a block, never all that a word or a source has.
+blocks, where texts are added up. What meets in one task is a block (or a few, if tasks made unequal numbers of them), never
+all that a word or a source has; texts stream past the words of their block.
 
 NULL, empty and blank texts are an end alone. Rows with a NULL doc_id are scored, not learned from. With nothing
 to learn from, the vocabulary's own scores are the model.
@@ -20,11 +21,11 @@ to learn from, the vocabulary's own scores are the model.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -327,24 +328,49 @@ def score(docs: DataFrame, model: bytes, held_out: Column, class_of: Column | No
 
     weighed = stored(words.mapInArrow(weigh, "word binary, c bigint, " + ", ".join(f"{p} float" for p in logs)), folder, "weighed")
     discard(spark, f"{folder}/words")
-    parts = in_blocks.select(F.col("block").alias("of"), "row", "word").join(weighed, "word").drop("word")
+    parts = in_blocks.select("block", "row", "word").join(weighed, "word").select("block", "row", "c", *logs)
     texts = blocks.where("bag is not null").select("block", "doc_id", "held_out", "bag")
+    # A block is (task, number in the task). As many partitions as blocks, dealt by number: hashes would put several in one.
+    spread, last = texts.agg(F.greatest(F.count_distinct("block"), F.lit(1)), F.coalesce(F.max(F.shiftright("block", 24)), F.lit(0))).first()
+    # No common factor with the tasks, so that no two blocks of a task meet.
+    while math.gcd(spread, last + 1) > 1:
+        spread += 1
+    place = F.shiftright("block", 24) + (last + 1) * F.col("block").bitwiseAND(F.lit((1 << 24) - 1))
+    met = parts.unionByName(texts, allowMissingColumns=True).repartitionById(spread, F.pmod(place, F.lit(spread)).cast("int"))
     prior = word_model.log_prior
 
-    def add_up(bags: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(table["row"].to_numpy())
-        c = table["c"].to_numpy()[order].astype(float)
-        log_p = table[logs].to_numpy()[order].astype(np.float64)
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        out = np.empty((len(bags), 5))
-        for i, bag in enumerate(bags["bag"]):
+    def add_up(batches):
+        """Rows by block: its words by row, then its texts."""
+        at, held, table = None, [], None
+        for batch in batches:
+            of, words_only = batch.column("block").to_numpy(), np.asarray(batch.column("bag").is_null())
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (words_only[1:] != words_only[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+                if a == b:
+                    continue
+                if of[a] != at:
+                    at, held, table = of[a], [], None
+                part = batch.slice(a, b - a)
+                if words_only[a]:
+                    held.append(np.column_stack([part.column(x).to_numpy() for x in ("c", *logs)]))
+                    continue
+                if table is None:
+                    table, held = np.concatenate(held), []
+                    c, log_p = table[:, 0], table[:, 1:]
+                    base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+                yield totals_of(part, c, base, log_p)
+
+    def totals_of(part: pa.RecordBatch, c: np.ndarray, base: np.ndarray, log_p: np.ndarray) -> pa.RecordBatch:
+        out = np.empty((part.num_rows, 5))
+        for i, bag in enumerate(part.column("bag").to_pylist()):
             at, times = _unpack(bag)
             sums = times @ log_p[at]
             joint = sums[:-1] + prior
             best = joint.max()
             out[i] = times.sum(), times[c[at] > 0].sum(), times @ base[at], (best + np.log(np.exp(joint - best).sum())) / np.log(10), sums[-1] / np.log(10)
         whole = out[:, :2].astype(np.int64)
-        return pd.DataFrame({"doc_id": bags["doc_id"], "held_out": bags["held_out"], "n_tokens": whole[:, 0], "n_known": whole[:, 1], "train_tokens": n, "base_score": out[:, 2], "score": out[:, 3], "lattice_score": out[:, 4]})
-
-    return texts.groupBy("block").cogroup(parts.groupBy("of")).applyInPandas(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double")
+        cols = [part.column("doc_id"), part.column("held_out"), *(pa.array(whole[:, k].copy()) for k in range(2)), pa.array(np.full(len(out), n)), *(pa.array(out[:, k].copy()) for k in range(2, 5))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
+    ordered = met.sortWithinPartitions("block", F.col("bag").isNotNull(), "row")
+    return ordered.mapInArrow(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double")
