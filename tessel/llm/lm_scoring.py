@@ -13,7 +13,7 @@ probability under the lattice of the vocabulary's own scores alone, which nothin
 Flow: a pass over the texts writes blocks (up to ``block_bytes`` of text each) of encoded texts and of the block's distinct
 words with their training counts; words are summed over blocks, scored once each, and sent back to the
 blocks, where texts are added up. What meets in one task is a block (or a few, if tasks made unequal numbers of them), never
-all that a word or a source has; texts stream past the words of their block.
+all that a word or a source has.
 
 NULL, empty and blank texts are an end alone. Rows with a NULL doc_id are scored, not learned from. With nothing
 to learn from, the vocabulary's own scores are the model.
@@ -340,25 +340,26 @@ def score(docs: DataFrame, model: bytes, held_out: Column, class_of: Column | No
     prior = word_model.log_prior
 
     def add_up(batches):
-        """Rows by block: its words by row, then its texts."""
-        at, held, table = None, [], None
+        """Words and texts of the partition's blocks, in any order; what is held is as large as these blocks."""
+        words: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
             of, words_only = batch.column("block").to_numpy(), np.asarray(batch.column("bag").is_null())
             cuts = np.flatnonzero((of[1:] != of[:-1]) | (words_only[1:] != words_only[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
                 if a == b:
                     continue
-                if of[a] != at:
-                    at, held, table = of[a], [], None
                 part = batch.slice(a, b - a)
                 if words_only[a]:
-                    held.append(np.column_stack([part.column(x).to_numpy() for x in ("c", *logs)]))
-                    continue
-                if table is None:
-                    table, held = np.concatenate(held), []
-                    c, log_p = table[:, 0], table[:, 1:]
-                    base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-                yield totals_of(part, c, base, log_p)
+                    words.setdefault(int(of[a]), []).append(np.column_stack([part.column(x).to_numpy() for x in ("row", "c", *logs)]))
+                else:
+                    held.setdefault(int(of[a]), []).append(part.select(["doc_id", "held_out", "bag"]))
+        for block in sorted(held):
+            table = np.concatenate(words.pop(block))
+            table = table[np.argsort(table[:, 0])]
+            c, log_p = table[:, 1], table[:, 2:]
+            base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+            yield from (totals_of(part, c, base, log_p) for part in held.pop(block))
 
     def totals_of(part: pa.RecordBatch, c: np.ndarray, base: np.ndarray, log_p: np.ndarray) -> pa.RecordBatch:
         out = np.empty((part.num_rows, 5))
@@ -372,5 +373,4 @@ def score(docs: DataFrame, model: bytes, held_out: Column, class_of: Column | No
         cols = [part.column("doc_id"), part.column("held_out"), *(pa.array(whole[:, k].copy()) for k in range(2)), pa.array(np.full(len(out), n)), *(pa.array(out[:, k].copy()) for k in range(2, 5))]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
-    ordered = met.sortWithinPartitions("block", F.col("bag").isNotNull(), "row")
-    return ordered.mapInArrow(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double")
+    return met.mapInArrow(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double")
