@@ -1,6 +1,7 @@
 """The pipeline's rows against a brute-force version of its stages."""
 
 import hashlib
+from pathlib import Path
 
 import corpus_pipeline
 import sentencepiece
@@ -8,6 +9,7 @@ from test_line_dedup import brute as brute_lines
 from test_near_copies import brute_components, brute_contained, brute_fingerprint
 
 from tessel.llm import queries
+from tessel.sources.tables import shared_base
 
 SF = "/root/testdata/sf0.01"
 MODEL = queries.model_bytes()
@@ -86,12 +88,9 @@ def test_clashes_repeats_and_leaks(spark):
     assert {r.doc_id: r.n_tokens for r in out} == {r.doc_id: len(sentencepiece.SentencePieceProcessor(model_proto=MODEL).encode(r.text)) for r in own["benchmark decontamination"]}
 
 
-def test_stored_tables_go(spark, tmp_path):
+def test_stored_tables_go(spark):
     """A run leaves its last stage's input and nothing else."""
-    base = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/c")
-    try:
-        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
-        assert sorted("/".join(p.relative_to(f"{tmp_path}/c").parts[1:]) for p in (tmp_path / "c").glob("*/*")) == ["stage-3"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", base)
+    root = Path(shared_base(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(root.glob("*/*"))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert [p.name for p in set(root.glob("*/*")) - before] == ["stage-3"]
