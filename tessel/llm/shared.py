@@ -117,17 +117,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes
     holds no more than the two bounds. Equal pairs count once.
     """
     spark = docs.sparkSession
-    keys = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+    path = shared_folder(spark)
+    keys = stored(labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label")), path, "keys")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # Limited in every task before the exchange, so a frequent label sends max_rows rows a task at most.
-    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("rank") <= max_rows)
-    first = ranked.orderBy(F.least("rank", F.lit(least + 1)), *order).limit(max_rows).collect()
+    # Spark limits ranks of up to 1000 in every task before the exchange, so a frequent label sends ``least`` rows a task.
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("rank") <= least)
+    first = [(r["doc_id"], r["label"]) for r in ranked.orderBy("rank", *order).limit(max_rows).collect()]
+    # A heap of max_rows in each task. At most len(first) of them are there already, so what is missing is among them.
+    rest = [(r["doc_id"], r["label"]) for r in keys.orderBy(*order).limit(max_rows).collect()]
+    taken = {i for i, _ in first}
+    first = [*first, *(r for r in rest if r[0] not in taken)][:max_rows]
     if not first:
+        discard(spark, path)
         return []
     # max_rows rows: small enough to broadcast whatever the input is.
-    chosen = F.broadcast(spark.createDataFrame([(i, r["doc_id"]) for i, r in enumerate(first)], "at int, __id bigint"))
+    chosen = F.broadcast(spark.createDataFrame([(i, r[0]) for i, r in enumerate(first)], "at int, __id bigint"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    path = shared_folder(spark)
     picked = texts.join(chosen, F.col("doc_id") == F.col("__id")).groupBy("at").agg(F.min("text").alias("text"))
     picked = stored(picked, path, "sample")
     sizes = picked.select("at", F.octet_length("text").alias("n")).orderBy("at").collect()
@@ -139,7 +144,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes
         last = r["at"]
     got = picked.where(F.col("at") <= last).collect() if last is not None else []
     discard(spark, path)
-    return list(dict.fromkeys((r["text"], first[r["at"]]["label"]) for r in sorted(got, key=lambda r: r["at"])))
+    return list(dict.fromkeys((r["text"], first[r["at"]][1]) for r in sorted(got, key=lambda r: r["at"])))
 
 
 def parts(batch: pa.RecordBatch, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
