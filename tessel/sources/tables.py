@@ -14,14 +14,21 @@ from pyspark.sql.types import StructType
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
+#: Application -> its temporary folder, on a local master without spark.checkpoint.dir.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a local master may do with a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessel-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        # The setting itself can't be changed in a session that runs.
+        app = spark.sparkContext.applicationId
+        if app not in _TEMPORARY:
+            _TEMPORARY[app] = f"file://{tempfile.mkdtemp(prefix='tessel-')}"
+        base = _TEMPORARY[app]
     return base.rstrip("/")
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -58,3 +60,17 @@ def test_late_rows_in_append_mode(spark, tmp_path):
         query.processAllAvailable()
     query.stop()
     assert sorted((r.window_start.hour, r.total, r.n) for r in spark.table("late").collect()) == [(0, 25, 2), (5, 601, 2)]
+
+
+def test_temporary_base_needs_a_local_master():
+    from types import SimpleNamespace as Some
+
+    from tessel.sources.tables import shared_base
+
+    def session(master):
+        # Without spark.checkpoint.dir, and with no way to set it.
+        return Some(conf=Some(get=lambda k, d: None), sparkContext=Some(getConf=lambda: Some(get=lambda k: None), master=master, applicationId=f"app-{master}"))
+
+    assert shared_base(session("local[2]")) == shared_base(session("local[2]"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_base(session("yarn"))
