@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.registry import lookup
+from tessel.operators.join import join_groups
 from tessel.operators.positions import with_position
 
 
@@ -38,16 +39,18 @@ def group_ids(df: DataFrame, keys: list[str], order_by: list[str], name: str = "
 
     Only the first row of each group decides. The smallest leading value of each group is found first, in a hash
     aggregate that is combined before its exchange; order tuples are compared among the rows that have it. The groups are
-    numbered by their first tuples and return by a NULL-safe join.
+    numbered by their first tuples and return by a NULL-safe join, large ones by a broadcast.
     """
+    keys = list(dict.fromkeys(keys))
     named = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
-    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    lead, ours = F.col(f"`{order_by[0]}`"), [f"__k{i}" for i in range(len(keys))]
-    leads = df.groupBy(*named).agg(F.when(F.max(lead.isNull()), F.lit(None)).otherwise(F.min(lead)).alias("__lead"))
+    theirs = {k: f"__k{i}" for i, k in enumerate(keys)}
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(t)) for k, t in theirs.items()]
+    lead, ours = F.col(f"`{order_by[0]}`"), list(theirs.values())
+    leads = df.groupBy(*named).agg(F.when(F.max(lead.isNull()), F.lit(None)).otherwise(F.min(lead)).alias("__lead"), F.count("*").alias("__n"))
     heads = df.join(leads, [*same, lead.eqNullSafe(F.col("__lead"))])
-    groups = heads.groupBy(*ours).agg(F.min(F.struct(*(f"`{c}`" for c in order_by))).alias("__first"))
+    groups = heads.groupBy(*ours).agg(F.min(F.struct(*(f"`{c}`" for c in order_by))).alias("__first"), F.max("__n").alias("__n"))
     ids = with_position(groups, ["__first"], name).drop("__first")
-    return df.join(ids, same).drop(*ours)
+    return join_groups(df, ids, theirs, "__n", order_by)
 
 
 def distinct_first(df: DataFrame, keys: list[str]) -> DataFrame:

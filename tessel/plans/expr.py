@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.registry import lookup
+from tessel.operators.join import join_groups
 
 
 @dataclass(frozen=True)
@@ -96,11 +97,16 @@ def _substitute(node: Call, name: str, by: Node) -> tuple[Call, int]:
 
 def _fresh(df: DataFrame, base: str) -> str:
     taken, i = {c.lower() for c in df.columns}, 0
-    while f"__{base}_{i}" in taken:
+    while any(c.startswith(f"__{base}_{i}") for c in taken):
         i += 1
     return f"__{base}_{i}"
 
 
+def _columns(*nodes: Node) -> set[str]:
+    """Columns that the trees read."""
+    return {n.name for n in nodes if isinstance(n, Col)}.union(*(_columns(*n.inputs, *n.keys) for n in nodes if isinstance(n, Call)))
+
+
 STRATEGIES = ("aggregate", "window")
 
 
@@ -109,7 +115,7 @@ def with_expression(df: DataFrame, name: str, expr: Node | str, scope: tuple[str
 
     An aggregate with keys has one value for each key tuple, shown in all of its rows. ``strategy`` says how, with equal
     results: ``aggregate`` groups (combined before its exchange, so a hot key costs a row per task) and joins the
-    groups back NULL-safely, where Spark broadcasts few groups and splits a skewed key; ``window`` sends all rows of a key
+    groups back NULL-safely, large ones by a broadcast; ``window`` sends all rows of a key
     to one task, which is one exchange less where nearly every key has few rows. Expressions have to be deterministic.
 
     An aggregate inside another one or under its keys becomes a column of its own first.
@@ -118,7 +124,7 @@ def with_expression(df: DataFrame, name: str, expr: Node | str, scope: tuple[str
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
     temps: list[str] = []
 
-    def attach(value: Column, keys: list[Column], zero: bool) -> Column:
+    def attach(value: Column, keys: list[Column], zero: bool, reads: set[str]) -> Column:
         nonlocal df
         temps.append(t := _fresh(df, "w"))
         if strategy == "window":
@@ -129,9 +135,8 @@ def with_expression(df: DataFrame, name: str, expr: Node | str, scope: tuple[str
         else:
             ours, theirs = [f"{t}_k{i}" for i in range(len(keys))], [f"{t}_g{i}" for i in range(len(keys))]
             df = df.withColumns(dict(zip(ours, keys, strict=True)))
-            groups = df.groupBy(*(F.col(k).alias(g) for k, g in zip(ours, theirs, strict=True))).agg(value.alias(t))
-            same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(ours, theirs, strict=True)]
-            df = df.join(groups, same, "left").drop(*ours, *theirs)
+            groups = df.groupBy(*(F.col(k).alias(g) for k, g in zip(ours, theirs, strict=True))).agg(value.alias(t), F.count("*").alias(f"{t}_n"))
+            df = join_groups(df, groups, dict(zip(ours, theirs, strict=True)), f"{t}_n", sorted(reads)).drop(*ours)
         return F.coalesce(F.col(t), F.lit(0)) if zero else F.col(t)
 
     def lower(node: Node) -> Column:
@@ -151,7 +156,7 @@ def with_expression(df: DataFrame, name: str, expr: Node | str, scope: tuple[str
         inputs = [lower(i) for i in node.inputs]
         # A literal key groups nothing.
         keys = [*(F.col(f"`{c}`") for c in scope), *(lower(k) for k in node.keys if not isinstance(k, Lit))]
-        return attach(op.build(*inputs), keys, node.op == "SUM")
+        return attach(op.build(*inputs), keys, node.op == "SUM", _columns(node))
 
     lowered = lower(_node(expr))
     return df.withColumn(name, lowered).drop(*(t for t in temps if t != name))

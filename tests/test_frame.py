@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessel import Frame, call, col, lit, slot
 from tessel.functions import registry
 from tessel.functions.hashing import bucket, fast_row_hash, row_bucket, row_hash
+from tessel.operators import join
 from tessel.operators.aggregate import group_ids
 from tessel.operators.partition import hash_repartition, with_bucket
 from tessel.operators.positions import with_position
@@ -157,6 +158,31 @@ def test_a_hot_key_is_combined_before_its_exchange(spark, op):
         with_expression(rows, "s", call(op, "v").over("k"), strategy="other")
 
 
+@pytest.mark.parametrize("key", ["if(id % 10 < 9, null, id % 77)", "id % 10 < 9"])
+def test_rows_of_a_hot_key_are_not_put_into_one_task(spark, monkeypatch, key):
+    """Nine of ten rows have one key, and Spark neither broadcasts groups by itself nor changes the plan while it runs."""
+    monkeypatch.setattr(join, "HEAVY", 1000)
+    rows = spark.range(0, 20_000, 1, 8).selectExpr(f"{key} as k", "id % 5 as v", "id")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        summed, numbered = with_expression(rows, "s", call("SUM", "v").over("k")), group_ids(rows, ["k"], ["id"])
+        assert summed.columns == ["k", "v", "id", "s"] and numbered.columns == ["k", "v", "id", "group_id"]
+        for out in (summed, numbered):
+            tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(tasks) == 20_000 and max(tasks) < 10_000
+        want = with_expression(rows, "s", call("SUM", "v").over("k"), strategy="window")
+        assert summed.exceptAll(want).count() == 0 == want.exceptAll(summed).count()
+        firsts = {r.k: r.id for r in rows.groupBy("k").agg(F.min("id").alias("id")).collect()}
+        order = sorted(firsts, key=firsts.get)
+        assert {r.k: r.group_id for r in numbered.select("k", "group_id").distinct().collect()} == {k: i for i, k in enumerate(order)}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_names_that_look_like_temporaries(spark):
     f = frame(spark, "__w_0 bigint, __w_1_k0 bigint", [1, 2], [3, 3], layout=[2])
     assert f.with_expression("s", call("+", "__w_0", call("SUM", "__w_0").over("__w_1_k0"))).materialize("s") == [4, 5]
