@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from math import isqrt
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the sample for each range: sizes of ranges differ by about a fifth then.
@@ -12,8 +10,7 @@ _SAMPLED = 24
 
 
 def _cuts(df: DataFrame, order_by: list[str], ranges: int) -> DataFrame:
-    """One row with a struct: the ascending order tuples (``all``) that cut ``df`` into ``ranges`` parts of about equal
-    size, their leading values that are not NULL (``leads``), and how many are (``nulls``).
+    """One row: the ascending order tuples, ``ranges`` - 1 at most, that cut ``df`` into parts of about equal size.
 
     They come from the rows of smallest hash, a sample of fixed size that any repetition of the query finds again.
     """
@@ -21,39 +18,30 @@ def _cuts(df: DataFrame, order_by: list[str], ranges: int) -> DataFrame:
     sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(_SAMPLED * ranges)
     got = sample.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("a"))
     at = F.sequence(F.lit(1), F.lit(ranges - 1))
-    cuts = F.filter(F.transform(at, lambda i: F.get("a", F.floor(i * F.size("a") / ranges).cast("int"))), lambda c: c.isNotNull())
-    leads = F.array_compact(F.transform("all", lambda c: c[order_by[0]]))
-    return got.select(cuts.alias("all")).select(F.struct("all", leads.alias("leads"), (F.size("all") - F.size(leads)).alias("nulls")))
+    cuts = F.transform(at, lambda i: F.get("a", F.floor(i * F.size("a") / ranges).cast("int")))
+    return got.select(F.filter(cuts, lambda c: c.isNotNull()))
 
 
 def _with_range(df: DataFrame, order_by: list[str], ranges: int) -> DataFrame:
     """``df`` with ``__range``: how many of the cuts are not above the row's order tuple.
 
-    Most rows are placed by their leading value alone; tuples are compared with the cuts of the same leading value only.
+    A binary search, a column for each step: lambdas would not be compiled, and one expression would double with each step.
     """
-    lead, step = F.col(f"`{order_by[0]}`"), max(1, isqrt(ranges))
-    # The subquery has to be a column before a lambda may read it.
-    out = df.withColumn("__cuts", _cuts(df, order_by, ranges).scalar())
-    leads = F.col("__cuts.leads")
-    # Leading values below the row's: first every step-th one, then those of one step.
-    below = lambda a: F.coalesce(F.size(F.filter(a, lambda c: c < lead)), F.lit(0))
-    steps = F.filter(F.sequence(F.lit(step), F.lit(ranges), F.lit(step)), lambda i: F.get(leads, i - 1) < lead)
-    out = out.withColumn("__step", F.coalesce(F.size(steps), F.lit(0)) * step)
-    under = F.when(lead.isNull(), F.lit(0)).otherwise(F.col("__cuts.nulls") + F.col("__step") + below(F.slice(leads, F.col("__step") + 1, step)))
-    out = out.withColumn("__under", under)
-    same = F.get("__cuts.all", F.col("__under"))[order_by[0]].eqNullSafe(lead) & (F.col("__under") < F.size("__cuts.all"))
     mine = F.struct(*(f"`{c}`" for c in order_by))
-    rest = F.slice("__cuts.all", F.col("__under") + 1, F.size("__cuts.all"))
-    ties = F.when(same, F.size(F.filter(rest, lambda c: c[order_by[0]].eqNullSafe(lead) & (c <= mine)))).otherwise(0)
-    # Never NULL, so that the join on it needs no filter that would place each row once more.
-    return out.withColumn("__range", F.coalesce(F.col("__under") + ties, F.lit(0))).drop("__cuts", "__step", "__under")
+    out = df.withColumn("__cuts", _cuts(df, order_by, ranges).scalar()).withColumns({"__mine": mine, "__range": F.lit(0)})
+    for k in reversed(range((ranges - 1).bit_length())):
+        # Behind the last cut the comparison is NULL.
+        up = F.get("__cuts", F.col("__range") + (2**k - 1)) <= F.col("__mine")
+        out = out.withColumn("__range", F.col("__range") + F.when(up, 2**k).otherwise(0))
+    return out.drop("__cuts", "__mine")
 
 
 def with_position(df: DataFrame, order_by: list[str], name: str = "_pos", ranges: int | None = None) -> DataFrame:
     """0-based position of each row under the unique order ``order_by`` (ascending, NULL first), as BIGINT.
 
-    Quantiles of the whole order tuple cut the rows into ranges; rows are numbered inside each and shifted by the sizes
-    of the ranges before, which is a broadcast of ``ranges`` rows. Nothing is collected; any orderable type may lead.
+    Quantiles of the whole order tuple cut the rows into ranges, which a row finds in log2(``ranges``) comparisons; rows are
+    numbered inside each and shifted by the sizes of the ranges before, which is a broadcast of ``ranges`` rows. Nothing is
+    collected; any orderable type may lead.
     """
     if not order_by:
         raise ValueError("positions need an order")

@@ -1,6 +1,7 @@
 """Golden fixtures on nine-row tables with explicit layouts."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessel import Frame, call, col, lit, slot
@@ -225,6 +226,20 @@ def test_positions_by_any_leading_type(spark, kind):
     assert got == [r.id for r in rows.orderBy("x", "id").collect()]
 
 
+@pytest.mark.parametrize("ranges", [2, 5, 64, 1000])
+def test_a_row_finds_its_range_in_few_compiled_steps(spark, ranges):
+    """No lambda runs over the cuts for each row, and steps grow with the logarithm of the ranges."""
+    x = "case id % 6 when 0 then null when 1 then double('NaN') when 2 then -0.0D when 3 then 0.0D when 4 then -double('inf') else id % 40 end"
+    rows = spark.range(400).selectExpr(f"{x} as x", "if(id % 5 = 0, null, id % 9) as y", "(id * 7919) % 400 as id")
+    out = with_position(rows, ["x", "y", "id"], ranges=ranges)
+    places = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "__range" in line]
+    assert places and not any("lambda" in line for line in places)
+    # The rows are placed twice: for the sizes of the ranges, and to be numbered.
+    assert sum("CASE WHEN" in line for line in places) == 2 * (ranges - 1).bit_length()
+    want = rows.withColumn("_pos", (F.row_number().over(Window.orderBy("x", "y", "id")) - 1).cast("bigint"))
+    assert [r._pos for r in out.orderBy("id").collect()] == [r._pos for r in want.orderBy("id").collect()]
+
+
 def test_text(spark):
     f = frame(spark, "a bigint, b string", [1, N], [N, "x"], layout=[2])
     assert f.show() == "1 | (null)\n(null) | x"
